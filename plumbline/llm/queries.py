@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from plumbline.llm.bpe import op1_bpe
+from plumbline.llm.packing import op3_packing
+from plumbline.llm.simhash import op5_simhash
+from plumbline.llm.substring_dedup import op4_substring_dedup
 
 
 def queries() -> dict:
     return {
         "op1_bpe": op1_bpe,
+        "op3_packing": op3_packing,
+        "op4_substring_dedup": op4_substring_dedup,
+        "op5_simhash": op5_simhash,
     }
 
 
