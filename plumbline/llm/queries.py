@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from plumbline.llm.bpe import op1_bpe
+from plumbline.llm.licenses import op10_licenses
+from plumbline.llm.media import op7_media
 from plumbline.llm.packing import op3_packing
 from plumbline.llm.simhash import op5_simhash
 from plumbline.llm.substring_dedup import op4_substring_dedup
@@ -14,6 +16,8 @@ def queries() -> dict:
         "op3_packing": op3_packing,
         "op4_substring_dedup": op4_substring_dedup,
         "op5_simhash": op5_simhash,
+        "op7_media": op7_media,
+        "op10_licenses": op10_licenses,
     }
 
 
