@@ -6,6 +6,9 @@ from plumbline.llm.bpe import op1_bpe
 from plumbline.llm.licenses import op10_licenses
 from plumbline.llm.media import op7_media
 from plumbline.llm.packing import op3_packing
+from plumbline.llm.pii import op6_pii
+from plumbline.llm.quality import op8_quality
+from plumbline.llm.secret_scan import op9_secrets
 from plumbline.llm.simhash import op5_simhash
 from plumbline.llm.substring_dedup import op4_substring_dedup
 
@@ -16,7 +19,10 @@ def queries() -> dict:
         "op3_packing": op3_packing,
         "op4_substring_dedup": op4_substring_dedup,
         "op5_simhash": op5_simhash,
+        "op6_pii": op6_pii,
         "op7_media": op7_media,
+        "op8_quality": op8_quality,
+        "op9_secrets": op9_secrets,
         "op10_licenses": op10_licenses,
     }
 
