@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from plumbline.llm.bpe import op1_bpe
+from plumbline.llm.html_extract import op2_html
 from plumbline.llm.licenses import op10_licenses
 from plumbline.llm.media import op7_media
 from plumbline.llm.packing import op3_packing
@@ -16,6 +17,7 @@ from plumbline.llm.substring_dedup import op4_substring_dedup
 def queries() -> dict:
     return {
         "op1_bpe": op1_bpe,
+        "op2_html": op2_html,
         "op3_packing": op3_packing,
         "op4_substring_dedup": op4_substring_dedup,
         "op5_simhash": op5_simhash,
