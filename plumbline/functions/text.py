@@ -188,7 +188,7 @@ def verdict(reply: Column) -> Column:
 
 def edge_cleaned(text: Column) -> Column:
     """A recognised line without edge words that have no letter or digit, and without edge brackets and strokes."""
-    inner = F.regexp_replace(F.regexp_replace(strip(text), r"(?U)^(?:[^\s\p{L}\p{N}]+(?:\s+|$))+", ""), r"(?U)(?:(?:^|\s+)[^\s\p{L}\p{N}]+)+$", "")
+    inner = F.regexp_replace(F.regexp_replace(strip(text), r"(?U)^(?:[^\s\p{L}\p{N}]++(?:\s++|$))++", ""), r"(?U)(?:(?:^|\s++)[^\s\p{L}\p{N}]++)++$", "")
     return strip(F.regexp_replace(inner, r"^[\\/(){}\[\]|\s]+|[\\/(){}\[\]|\s]+$", ""))
 
 

@@ -72,9 +72,14 @@ def text_lines(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> Data
     return docs.select(F.col(id_).cast("string").alias("pid"), F.lit(0).alias("page"), F.lit(0).cast("long").alias("block"), F.posexplode(F.split(text, "\n", -1)).alias("n", "text")).select("pid", "page", "block", F.col("n").cast("long").alias("line"), "text")
 
 
+HTML_BLOCK = r"(?is)<(?:p|h[1-6])(?:\s[^>]*)?>((?:[^<]|</?(?:a|b|code|em|i|small|span|strong|u)(?:\s[^>]*)?>)*)"
+#: The same without giving back what it matched, so that long blocks need no stack.
+_HTML_BLOCK = HTML_BLOCK.replace("[^<]|", "[^<]++|").replace(")*)", ")*+)")
+
+
 def html_blocks(pages: DataFrame) -> DataFrame:
     """Text of <p> and heading elements in page order: page_id, block, text."""
-    found = F.regexp_extract_all("html", F.lit(r"(?is)<(?:p|h[1-6])\b[^>]*>(.*?)(?=</?(?:p|h[1-6]|article|div|footer|body)\b)"), F.lit(1))
+    found = F.regexp_extract_all("html", F.lit(_HTML_BLOCK), F.lit(1))
     rows = pages.select("page_id", F.posexplode(found).alias("block", "raw"))
     text = F.trim(F.regexp_replace(F.regexp_replace("raw", r"(?s)<[^>]*>", " "), r"\s+", " "))
     return rows.select("page_id", F.col("block").cast("long").alias("block"), text.alias("text")).filter("text <> ''")
