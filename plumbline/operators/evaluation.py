@@ -2,29 +2,40 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as X
 from plumbline.operators.assign import mutual_best
 from plumbline.operators.report import noise
-from plumbline.session import reachable
+from plumbline.session import reachable, written
 from plumbline.settings import DEFAULT
 
 
-def similarity(spark) -> Column:
-    """UDF (a, b) -> ratio of matching blocks of the lower-cased texts. Not symmetric; no built-in gives it."""
-    import pandas as pd
+def similarity(spark, least: float = 0.0):
+    """UDF (a, b) -> ratio of matching blocks of the lower-cased texts. Not symmetric; no built-in gives it.
 
+    Below ``least`` it may give 0.0 instead, where a cheap upper bound already shows that.
+    """
     reachable(spark)
 
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    def one(x, y):
         from difflib import SequenceMatcher
 
-        return pd.Series([None if x is None or y is None else SequenceMatcher(None, x.lower(), y.lower()).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+        if x is None or y is None:
+            return None
+        x, y = x.lower(), y.lower()
+        if x == y:
+            return 1.0
+        m = SequenceMatcher(None, x, y)
+        return 0.0 if least and (m.real_quick_ratio() < least or m.quick_ratio() < least) else m.ratio()
+
+    def ratios(a, b):
+        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    return ratio
+    ratios.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
+    return F.pandas_udf(ratios, "double")
 
 
 def texts_match(ratio, a: Column, b: Column, threshold: float = DEFAULT.fuzzy_ratio) -> Column:
@@ -47,7 +58,7 @@ def match_deltas(deltas: DataFrame, expected: DataFrame) -> DataFrame:
     deltas: pair_id, delta_id and the change feed's columns; expected: pair_id, gt_id, change_type, element_type,
     old_text, new_text, locator. Pairs meet on change and element type; equal distances go by gt_id, then delta_id.
     """
-    ratio = similarity(deltas.sparkSession)
+    ratio = similarity(deltas.sparkSession, DEFAULT.fuzzy_ratio)
     keys = ["pair_id", "change_type", "element_type"]
     want = expected.select(*keys, "gt_id", F.col("old_text").alias("e_old"), F.col("new_text").alias("e_new"), F.col("locator.bbox").alias("e_box"))
     have = deltas.select(*keys, "delta_id", "old_text", "new_text", F.coalesce("new_bbox", "old_bbox").alias("box"))
@@ -63,6 +74,7 @@ def delta_quality(deltas: DataFrame, expected: DataFrame, pairs: DataFrame, stat
 
     A control pair has no rates; it passes if any warning was raised.
     """
+    deltas = written(deltas, "changes")
     found = match_deltas(deltas, expected)
     tp = found.groupBy("pair_id").agg(F.count("*").alias("tp"))
     wanted = expected.groupBy("pair_id").agg(F.count("*").alias("wanted"))
@@ -101,7 +113,7 @@ def retrieval_quality(ranked: DataFrame, questions: DataFrame, k: int = DEFAULT.
     ranked: query_id, rank, text; questions: query_id, answerable, expected (array). Only answerable questions with
     something expected count.
     """
-    ratio = similarity(ranked.sparkSession)
+    ratio = similarity(ranked.sparkSession, DEFAULT.fuzzy_ratio)
     asked = questions.filter(F.col("answerable") & (F.size(F.coalesce("expected", F.array().cast("array<string>"))) > 0))
     pairs = asked.select("query_id", F.explode("expected").alias("want")).join(ranked.filter(F.col("rank") <= k), "query_id")
     first = pairs.filter(texts_match(ratio, F.col("text"), F.col("want"))).groupBy("query_id").agg(F.min("rank").alias("first"))

@@ -49,17 +49,19 @@ def exact_lookup(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     return found.select("query_id", "id").distinct().withColumn("score", F.lit(1.0)).withColumn("source", F.lit("exact"))
 
 
-def vector_topk(questions: DataFrame, chunks: DataFrame, k: int = DEFAULT.retrieved) -> DataFrame:
+def vector_topk(questions: DataFrame, chunks: DataFrame, k: int = DEFAULT.retrieved, blocks: int = 32) -> DataFrame:
     """query_id, id, score of the k nearest chunks by cosine of unit vectors, exactly; ties by id.
 
-    Questions and chunks meet within a collection. The k best of a question are kept before and after the shuffle
-    (the rank limit is pushed below it), so what moves is k rows a question and task, not all scores.
+    A collection's chunks are dealt into blocks and its questions go to each of them, so one large collection is no
+    one task's work. The k best of a question and block are found first, so what meets in the end is k rows a block.
     """
-    q = questions.filter("embedding is not null").select("query_id", "collection", F.col("embedding").alias("qv"))
-    c = chunks.filter("embedding is not null").select("collection", "id", "embedding")
-    scored = c.join(q, "collection").select("query_id", "id", F.greatest(F.lit(0.0), dot(F.col("qv"), F.col("embedding"))).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "id", "score", F.lit("vector").alias("source"))
+    q = questions.filter("embedding is not null").select("query_id", "collection", F.col("embedding").alias("qv"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    c = chunks.filter("embedding is not null").select("collection", "id", "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+    scored = c.join(q, ["collection", "block"]).select("query_id", "block", "id", F.greatest(F.lit(0.0), dot(F.col("qv"), F.col("embedding"))).alias("score"))
+    best = [F.col("score").desc(), "id"]
+    inside = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "block").orderBy(*best))).filter(F.col("rank") <= k)
+    order = Window.partitionBy("query_id").orderBy(*best)
+    return inside.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "id", "score", F.lit("vector").alias("source"))
 
 
 def hybrid(exact: DataFrame, vector: DataFrame) -> DataFrame:

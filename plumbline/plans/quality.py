@@ -9,7 +9,7 @@ from plumbline.operators import evaluation as E
 from plumbline.operators import telemetry as T
 from plumbline.plans.changes import part_delta
 from plumbline.plans.registry import query
-from plumbline.session import table
+from plumbline.session import table, written
 
 
 def event_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +131,7 @@ def ground_truth_quality(spark, sf_dir):
     """The change feed of parts against itself with every tenth change left out: all expected are found."""
     feed, stats = part_delta(spark, sf_dir)
     ids = F.concat_ws("/", "change_type", "old_element_id", "new_element_id")
-    deltas = feed.withColumn("delta_id", ids)
+    deltas = written(feed.withColumn("delta_id", ids), "feed")
     expected = deltas.filter(F.pmod(F.xxhash64("delta_id"), F.lit(10)) != 0).withColumn("gt_id", F.col("delta_id")).withColumn("b", F.coalesce("new_bbox", "old_bbox"))
     expected = expected.select("pair_id", "gt_id", "change_type", "element_type", "old_text", "new_text", F.struct(F.array("b.x0", "b.y0", "b.x1", "b.y1").alias("bbox")).alias("locator"))
     pairs = deltas.select("pair_id").distinct().withColumn("negative_control", F.lit(False))
