@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from plumbline.llm._common import attach, documents, slices, spread, text_or_empty, utf8
 
@@ -416,7 +417,7 @@ def encode_column(df: DataFrame, vocabulary: str | None = None, text: str = "tex
     from functools import partial
 
     attach(df.sparkSession)
-    schema = df.drop(out).schema.add(out, "array<int>")
+    schema = df.drop(out).schema.add(out, T.ArrayType(T.IntegerType()))
     return df.drop(out).mapInArrow(partial(_encode_batches, vocabulary=vocabulary or default_vocabulary(), text=text, out=out), schema)
 
 

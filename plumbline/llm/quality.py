@@ -74,7 +74,7 @@ def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
-def line_fails(line: Column, noisy: Column = F.lit(True), separated: Column = F.lit(True), stock: Column = F.lit(True)) -> Column:
+def line_fails(line: Column, noisy: Column, separated: Column, stock: Column) -> Column:
     """Whether a line that has words fails a rule. The flags say whether the text has a sign of that rule at all."""
     words = _count(line, WORD_PATTERN)
     last = F.right(F.rtrim(line), F.lit(1))
