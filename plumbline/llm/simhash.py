@@ -1,20 +1,21 @@
 """SimHash near-duplicates: 64-bit fingerprints of word shingles, linked at a small Hamming distance.
 
-Fingerprints are made distinct first, so copies cost one row. Four blocks of 16 bits are cut from each; two
-fingerprints at most two bits apart agree in two blocks at least, so six tables keyed by two blocks find every link.
+Fingerprints are made distinct first, so copies cost one row. For radius r each is cut into r + 2 blocks; two
+fingerprints at most r bits apart agree in two blocks at least, so the tables keyed by two blocks find every link.
 Within a bucket the members' other bits are kept as vertical planes, one bit set per bit position, and a member is
 compared with all of them at once: its differences go through carry-save counters, and a block of members is abandoned
 as soon as all in it are too far. A bucket answers with one row per member it links, not with pairs.
 
-Buckets beyond ``BUCKET`` members take another exact way, whose groups cannot grow: each member meets the 65 values at
-most one bit from it. Two fingerprints are at most two bits apart exactly if they meet in such a value, and a value
-has 65 members at most. Components come from alternating large-star and small-star steps on tables.
+Buckets beyond ``BUCKET`` members take another exact way, whose groups cannot grow. Up to radius 2 each member meets
+the 65 values at most one bit from it. Two fingerprints are at most two bits apart exactly if they meet in such a value, and a value
+has 65 members at most. For larger radii the bucket is cut into parts, and each pair of parts is compared by itself. Components come from alternating large-star and small-star steps on tables.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm._common import attach, documents, materialize, slices, text_or_empty, utf8
+from plumbline.llm.quality import let, words_of
 
 SHINGLE = 3
 RADIUS = 2
@@ -31,7 +33,6 @@ BUCKET = 2048
 BLOCK = 1024
 SLICE_BYTES = 3 << 20
 BITS = 64
-BLOCKS = 4
 
 
 def fingerprint(data: bytes, shingle: int, seed: int = 42) -> int:
@@ -82,27 +83,41 @@ class Planes:
         self.bits = bits
 
     def near(self, value: int, radius: int) -> Iterator[int]:
-        """Members at most ``radius`` (up to 3) bits from ``value``, of the bits kept."""
+        """Members at most ``radius`` bits from ``value``, of the bits kept."""
+        width = radius.bit_length()
         for at, full, planes in self.blocks:
-            ones = twos = far = 0
+            count = [0] * width  # bit i of every member's distance
+            far = 0
             for b, plane in zip(self.bits, planes, strict=True):
-                differs = plane ^ full if value >> b & 1 else plane
-                carry = ones & differs
-                ones ^= differs
-                far |= twos & carry
-                twos ^= carry
-                beyond = far | (ones & twos if radius == 2 else twos if radius == 1 else twos | ones if radius == 0 else 0)
+                carry = plane ^ full if value >> b & 1 else plane
+                for i in range(width):
+                    count[i], carry = count[i] ^ carry, count[i] & carry
+                    if not carry:
+                        break
+                far |= carry
+                beyond = far | _above(count, radius)
                 if beyond == full:
                     break
             else:
-                beyond = far | (ones & twos if radius == 2 else twos if radius == 1 else twos | ones if radius == 0 else 0)
-                found = full & ~beyond
+                found = full & ~(far | _above(count, radius))
                 while found:
                     low = found & -found
                     yield at + low.bit_length() - 1
                     found ^= low
 
 
+def _above(count: list[int], limit: int) -> int:
+    """Members whose counter is above ``limit``."""
+    more, same = 0, -1
+    for i in range(len(count) - 1, -1, -1):
+        if limit >> i & 1:
+            same &= count[i]
+        else:
+            more |= same & count[i]
+            same &= ~count[i]
+    return more
+
+
 def _root(parent: list[int], i: int) -> int:
     while parent[i] != i:
         parent[i] = parent[parent[i]]
@@ -110,6 +125,18 @@ def _root(parent: list[int], i: int) -> int:
     return i
 
 
+def nearest_in_bucket(members: list[int], nodes: list[int], bits: list[int], radius: int) -> list[tuple[int, int]]:
+    """(node, the nearest smaller node it is linked to inside the bucket; of equally near ones the smallest)."""
+    order = sorted(range(len(members)), key=nodes.__getitem__)
+    members, nodes = [members[i] for i in order], [nodes[i] for i in order]
+    planes, out = Planes(members, bits), []
+    for i, value in enumerate(members):
+        near = [((members[j] ^ value).bit_count(), j) for j in planes.near(value, radius) if j < i]
+        if near:
+            out.append((nodes[i], nodes[min(near)[1]]))
+    return out
+
+
 def link_bucket(members: list[int], nodes: list[int], bits: list[int], radius: int) -> list[tuple[int, int]]:
     """(node, smallest node of its links' component inside the bucket) for each member that is linked to a smaller one."""
     order = sorted(range(len(members)), key=nodes.__getitem__)
@@ -125,28 +152,34 @@ def link_bucket(members: list[int], nodes: list[int], bits: list[int], radius: i
     return [(nodes[i], nodes[r]) for i in range(len(members)) if (r := _root(parent, i)) != i]
 
 
-def _pair_blocks() -> list[tuple[int, int]]:
-    return [(i, j) for i in range(BLOCKS) for j in range(i + 1, BLOCKS)]
+def _blocks(radius: int) -> list[range]:
+    """Bits in radius + 2 blocks: texts within the radius agree in two of them at least."""
+    n = radius + 2
+    return [range(i * BITS // n, (i + 1) * BITS // n) for i in range(n)]
+
+
+def _tables(radius: int) -> list[tuple[range, range]]:
+    blocks = _blocks(radius)
+    return [(a, b) for i, a in enumerate(blocks) for b in blocks[i + 1 :]]
 
 
-def _compare(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], radius: int, link=link_bucket) -> Iterator[pa.RecordBatch]:
     """Buckets come one after the other; one is held at a time."""
-    width = BITS // BLOCKS
-    free = [[b for b in range(BITS) if b // width not in pair] for pair in _pair_blocks()]
+    free = [[b for b in range(BITS) if b not in x and b not in y] for x, y in _tables(radius)]
     key, members, nodes, out = None, [], [], []
 
     def done():
-        out.extend(link_bucket(members, nodes, free[key[0]], radius))
+        out.extend(link(members, nodes, free[key[0]], radius))
         members.clear()
         nodes.clear()
 
     for batch in batches:
-        rows = [batch.column(c).to_pylist() for c in ("tab", "bucket", "fp", "node")]
-        for t, k, fp, node in zip(*rows, strict=True):
-            if (t, k) != key:
+        rows = [batch.column(c).to_pylist() for c in ("tab", "bucket", "part", "fp", "node")]
+        for *place, fp, node in zip(*rows, strict=True):
+            if place != key:
                 if members:
                     done()
-                key = (t, k)
+                key = place
             members.append(fp & (1 << BITS) - 1)
             nodes.append(node)
         if len(out) > 4096:
@@ -161,22 +194,38 @@ def _edges(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
-def _links(reps: DataFrame, radius: int, bucket: int) -> DataFrame:
-    """Edges (a, b), a > b, that join all fingerprints at most ``radius`` bits apart; reps: fp, node, one row each."""
-    width = BITS // BLOCKS
-    part = [F.shiftrightunsigned("fp", i * width).bitwiseAND((1 << width) - 1) for i in range(BLOCKS)]
-    tables = F.array(*[F.struct(F.lit(t).alias("tab"), (F.shiftleft(part[i], width) + part[j]).alias("bucket")) for t, (i, j) in enumerate(_pair_blocks())])
+def _links(reps: DataFrame, radius: int, bucket: int, nearest: bool = False) -> DataFrame:
+    """Edges (a, b), a > b, that join all fingerprints at most ``radius`` bits apart; reps: fp, node, one row each.
+
+    ``nearest``: instead, each member's nearest smaller one in each of its buckets.
+    """
+    cut = lambda x: F.shiftrightunsigned("fp", x.start).bitwiseAND((1 << len(x)) - 1)
+    tables = F.array(*[F.struct(F.lit(t).alias("tab"), (F.shiftleft(cut(x), len(y)) + cut(y)).alias("bucket")) for t, (x, y) in enumerate(_tables(radius))])
     rows = reps.select("fp", "node", F.explode(tables).alias("at")).select("at.tab", "at.bucket", "fp", "node")
     sizes = rows.groupBy("tab", "bucket").agg(F.count("*").alias("members")).filter("members > 1")
     rows = rows.join(sizes.hint("merge"), ["tab", "bucket"])
-    small = rows.filter(F.col("members") <= bucket).drop("members").repartition("tab", "bucket").sortWithinPartitions("tab", "bucket")
-    compared = small.mapInArrow(partial(_compare, radius=radius), "a long, b long")
+    small = rows.filter(F.col("members") <= bucket).withColumn("part", F.lit(0).cast("long"))
+    large = rows.filter(F.col("members") > bucket)
+    if radius > 2 or nearest:
+        small, large = small.unionByName(_in_parts(large, bucket)), None
+    dealt = small.select("tab", "bucket", "part", "fp", "node").repartition("tab", "bucket", "part").sortWithinPartitions("tab", "bucket", "part")
+    compared = dealt.mapInArrow(partial(_compare, radius=radius, link=nearest_in_bucket if nearest else link_bucket), "a long, b long")
+    if large is None:
+        return compared
     flips = F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda b: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))))
-    large = rows.filter(F.col("members") > bucket).select("fp", "node").distinct()
-    meets = large.select("node", F.explode(flips).alias("value")).withColumn("b", F.min("node").over(Window.partitionBy("value")))
+    once = large.select("fp", "node").distinct()
+    meets = once.select("node", F.explode(flips).alias("value")).withColumn("b", F.min("node").over(Window.partitionBy("value")))
     return compared.unionByName(meets.select(F.col("node").alias("a"), "b").filter("a > b"))
 
 
+def _in_parts(large: DataFrame, bucket: int) -> DataFrame:
+    """Large buckets in pairs of parts: every two members meet in one, and none has more than about ``bucket`` members."""
+    n = F.ceil(F.col("members") * 2 / F.lit(bucket)) + 1
+    own = large.withColumn("n", n).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("n")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))
+    return own.withColumn("other", other).withColumn("part", 1 + F.least("own", "other") * F.col("n") + F.greatest("own", "other")).drop("n", "own", "other")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) for every node of ``edges`` (a, b) other than the smallest ones."""
     edges = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
@@ -194,20 +243,42 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+def _alike(candidates: DataFrame, docs: DataFrame, least: float, shingle: int) -> DataFrame:
+    """Candidate links (a, b) between texts whose word shingles have a Jaccard similarity of ``least`` or more."""
+    lowered = F.translate(text_or_empty(), ascii_uppercase, ascii_lowercase)
+
+    def hashes(w):
+        n = F.greatest(F.size(w) - shingle + 1, F.lit(1))
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(w, i, shingle))))
+
+    nodes = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(nodes.hint("shuffle_hash"), "node", "left_semi")
+    sets = materialize(texts.select("node", let(words_of(lowered), hashes).alias("s")).dropDuplicates(["node"]), "shingles")
+    both = candidates.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.withColumn("n", shared).filter(F.col("n") >= least * (F.size("x") + F.size("y") - F.col("n"))).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, bucket: int = BUCKET, least_similarity: float = 0.0, similarity_shingle: int = 5) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits), component_id (the smallest doc_id reachable over links).
 
+    With ``least_similarity`` a link counts only if the texts' shingles are that similar (Jaccard), which allows for a
+    wider radius; each text is then held against the nearest earlier one of each of its buckets, not against all.
+
     A null text has no words and fingerprint zero; texts with fewer words than ``shingle`` are one shingle; a null
     doc_id keeps its row and joins its fingerprint's component (null if nothing else is in it); repeated rows stay, each
     with its own text's fingerprint and that one's component; an empty table gives no rows; further columns are ignored.
     """
-    if not 0 <= radius <= 2:
-        raise ValueError("the tables find links of 0 to 2 bits")
+    if not 0 <= radius <= 8:
+        raise ValueError("the tables are for links of 0 to 8 bits")
     attach(docs.sparkSession)
     found = docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(partial(_fingerprints, shingle=shingle), "doc_id long, fp long")
     found = materialize(found, "fingerprints")
     reps = materialize(found.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "distinct-fingerprints")
-    labels = components(_links(reps, radius, bucket))
+    links = _links(reps, radius, bucket, least_similarity > 0)
+    if least_similarity > 0:
+        links = _alike(materialize(links.distinct(), "candidates"), docs.select("doc_id", "text"), least_similarity, similarity_shingle)
+    labels = components(links)
     named = reps.join(labels.hint("merge"), "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return found.join(named.hint("merge"), "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
