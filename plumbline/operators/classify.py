@@ -1,7 +1,7 @@
 """Typing the lines of text blocks.
 
 Blocks of one line take the column rules. In longer blocks a line may use up those behind it (notes, instrument
-bubbles), so their lines are read in order, one page's blocks per Python call.
+bubbles), so their lines are read in order, as sorted streams.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as X
-from plumbline.session import reachable
+from plumbline.operators.groups import sorted_groups
 
 #: One line of a block. ``box`` is x0, y0, x1, y1 in the page's own unit.
 LINE = "pid string, page int, block long, line long, text string, x0 double, y0 double, x1 double, y1 double"
@@ -104,23 +104,20 @@ def classify(lines: DataFrame, ocr_tolerant: bool = False) -> DataFrame:
 
     Blank lines are kept as the caller gives them; a null text is blank; lines repeat as often as they come.
     """
-    reachable(lines.sparkSession)
     block = ["pid", "page", "block"]
     sized = lines.select(*_PLACE, F.coalesce("text", F.lit("")).alias("text"), *_BOX).withColumn("n", F.count("*").over(Window.partitionBy(*block)))
     one = sized.filter("n = 1").withColumn("made", X.one_line(F.col("text"), ocr_tolerant))
     one = one.select(*_PLACE, "made.type", "made.text", *_BOX, "made.attributes")
 
-    def read(pdf):
-        import pandas as pd
-
-        rows = []
-        for (pid, page, number), g in pdf.sort_values(["block", "line"], kind="stable").groupby(block, sort=True, dropna=False):
-            for kind, text, attributes, at, used in rules().read(g["text"].tolist(), ocr_tolerant):
-                part = g.iloc[at : at + used]
-                rows.append((pid, page, number, part["line"].iloc[0], kind, text, part["x0"].min(), part["y0"].min(), part["x1"].max(), part["y1"].max(), attributes))
-        return pd.DataFrame(rows, columns=[*_PLACE, "type", "text", *_BOX, "attributes"])
+    def read(rows):
+        out = []
+        first = tuple(rows[c][0] for c in block)
+        for kind, text, attributes, at, used in rules().read(rows["text"], ocr_tolerant):
+            box = [f(rows[c][at : at + used]) for f, c in ((min, "x0"), (min, "y0"), (max, "x1"), (max, "y1"))]
+            out.append((*first, rows["line"][at], kind, text, *box, attributes))
+        return out
 
-    several = sized.filter("n > 1").drop("n").groupBy("pid", "page").applyInPandas(read, DRAFT)
+    several = sorted_groups(sized.filter("n > 1").drop("n"), block, ["line"], read, DRAFT)
     return one.unionByName(several)
 
 
