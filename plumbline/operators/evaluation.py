@@ -107,6 +107,21 @@ def agreement(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), *out)
 
 
+def judged_rows(judged: DataFrame, labels: DataFrame, questions: DataFrame) -> DataFrame:
+    """Rows for ``agreement``: held-out questions that both a judge and a person scored.
+
+    judged: qa_id, correctness, groundedness (null where the reply could not be read); labels: the same by people.
+    """
+    held = questions.filter(F.coalesce("held_out", F.lit(False))).select("qa_id")
+    scored = lambda t, who: t.filter("correctness is not null and groundedness is not null").select("qa_id", *[F.col(c).alias(f"{who}_{c}") for c in ("correctness", "groundedness")])
+    return scored(judged, "judge").join(scored(labels, "human"), "qa_id").join(held, "qa_id", "left_semi")
+
+
+def regressed(diff: DataFrame) -> bool:
+    """Whether any metric of a scorecard difference got worse; what a gate exits on."""
+    return bool(diff.agg(F.max("regressed")).first()[0])
+
+
 def retrieval_quality(ranked: DataFrame, questions: DataFrame, k: int = DEFAULT.answered_from) -> tuple[DataFrame, DataFrame]:
     """(per question, overall) hit within k and reciprocal rank of the first hit.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import uuid
 from pathlib import Path
@@ -39,7 +40,22 @@ def shared_folder(spark: SparkSession) -> str:
     if not base:
         base = "file:///tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/plumbline-{spark.sparkContext.applicationId}"
+    folder = f"{base.rstrip('/')}/plumbline-{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_remove, spark, folder)
+    return folder
+
+
+_folders: set[str] = set()
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    try:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001  the session is gone; the cluster's own clean-up has the folder
+        pass
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -14,7 +14,7 @@ def canonical(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     docs = spark.read.schema(S.DOCUMENT_JSON).option("multiLine", True).json(path)
     e = docs.select("pid", F.posexplode("elements").alias("seq", "e"))
     rows = e.select("pid", "e.id", F.col("seq").cast("long").alias("seq"), "e.type", "e.text", "e.bbox", "e.attributes", "e.source_adapter", "e.extraction_confidence")
-    return docs.drop("elements").withColumn("n_elements", F.size(docs["elements"])), rows
+    return docs.withColumn("n_elements", F.size("elements")).drop("elements"), rows
 
 
 def write_canonical(documents: DataFrame, elements: DataFrame, path: str) -> None:
@@ -58,6 +58,25 @@ def write_spans(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("trace_id").json(path)
 
 
+SCORECARD = "label string, value double, higher_is_better boolean"
+
+
+def scorecard(spark: SparkSession, path: str) -> DataFrame:
+    """Metrics of a run, one JSON object per line: what ``evaluation.scorecard_diff`` compares."""
+    return spark.read.schema(SCORECARD).json(path)
+
+
+def write_scorecard(metrics: DataFrame, path: str) -> None:
+    metrics.select("label", F.col("value").cast("double").alias("value"), "higher_is_better").coalesce(1).write.mode("overwrite").json(path)
+
+
+def manifests(spark: SparkSession, path: str) -> DataFrame:
+    """pair_id, side, path, pid, format, revision_label: two rows per manifest file."""
+    rows = multiline(spark, path, S.MANIFEST_JSON)
+    sides = F.array(F.struct(F.lit("a").alias("side"), F.col("doc_a").alias("d")), F.struct(F.lit("b").alias("side"), F.col("doc_b").alias("d")))
+    return rows.select("pair_id", F.explode(sides).alias("s")).select("pair_id", "s.side", "s.d.*")
+
+
 def ocr_words(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
     return spark.read.schema(S.OCR_WORD).option("sep", sep).option("header", True).option("quote", "").csv(path)
 
