@@ -26,7 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return _shaped(judged.filter("kept").withColumn("text", F.col("text_cleaned")))
 
 
-#: Fingerprints of two-word shingles at six bits reach most texts whose five-word shingles are 0.8 alike; that is then asked for.
+#: Fingerprints of two-word shingles at six bits reach most texts whose five-word shingles are 0.8 alike; all pairs within that are asked for it.
 NEAR = {"shingle": 2, "radius": 6, "least_similarity": 0.8, "similarity_shingle": 5}
 
 

@@ -31,6 +31,10 @@ RADIUS = 2
 BUCKET = 2048
 #: Members compared as one block of bits.
 BLOCK = 1024
+#: Texts whose shingles are held against each other at once; larger components are cut into pairs of parts.
+GROUP = 512
+#: Shingles counted at once.
+WIDE = 4096
 SLICE_BYTES = 3 << 20
 BITS = 64
 
@@ -64,7 +68,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[p
             data, at = utf8(part.column("text"))
             at = at.tolist()
             found = [fingerprint(data[a:b], shingle) for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.array(found, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            kept = [c for c in part.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(np.array(found, np.uint64).view(np.int64))], names=[*kept, "fp"])
 
 
 class Planes:
@@ -125,18 +130,6 @@ def _root(parent: list[int], i: int) -> int:
     return i
 
 
-def nearest_in_bucket(members: list[int], nodes: list[int], bits: list[int], radius: int) -> list[tuple[int, int]]:
-    """(node, the nearest smaller node it is linked to inside the bucket; of equally near ones the smallest)."""
-    order = sorted(range(len(members)), key=nodes.__getitem__)
-    members, nodes = [members[i] for i in order], [nodes[i] for i in order]
-    planes, out = Planes(members, bits), []
-    for i, value in enumerate(members):
-        near = [((members[j] ^ value).bit_count(), j) for j in planes.near(value, radius) if j < i]
-        if near:
-            out.append((nodes[i], nodes[min(near)[1]]))
-    return out
-
-
 def link_bucket(members: list[int], nodes: list[int], bits: list[int], radius: int) -> list[tuple[int, int]]:
     """(node, smallest node of its links' component inside the bucket) for each member that is linked to a smaller one."""
     order = sorted(range(len(members)), key=nodes.__getitem__)
@@ -163,13 +156,13 @@ def _tables(radius: int) -> list[tuple[range, range]]:
     return [(a, b) for i, a in enumerate(blocks) for b in blocks[i + 1 :]]
 
 
-def _compare(batches: Iterator[pa.RecordBatch], radius: int, link=link_bucket) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """Buckets come one after the other; one is held at a time."""
     free = [[b for b in range(BITS) if b not in x and b not in y] for x, y in _tables(radius)]
     key, members, nodes, out = None, [], [], []
 
     def done():
-        out.extend(link(members, nodes, free[key[0]], radius))
+        out.extend(link_bucket(members, nodes, free[key[0]], radius))
         members.clear()
         nodes.clear()
 
@@ -194,11 +187,8 @@ def _edges(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
-def _links(reps: DataFrame, radius: int, bucket: int, nearest: bool = False) -> DataFrame:
-    """Edges (a, b), a > b, that join all fingerprints at most ``radius`` bits apart; reps: fp, node, one row each.
-
-    ``nearest``: instead, each member's nearest smaller one in each of its buckets.
-    """
+def _links(reps: DataFrame, radius: int, bucket: int) -> DataFrame:
+    """Edges (a, b), a > b, that join all fingerprints at most ``radius`` bits apart; reps: fp, node, one row each."""
     cut = lambda x: F.shiftrightunsigned("fp", x.start).bitwiseAND((1 << len(x)) - 1)
     tables = F.array(*[F.struct(F.lit(t).alias("tab"), (F.shiftleft(cut(x), len(y)) + cut(y)).alias("bucket")) for t, (x, y) in enumerate(_tables(radius))])
     rows = reps.select("fp", "node", F.explode(tables).alias("at")).select("at.tab", "at.bucket", "fp", "node")
@@ -206,10 +196,10 @@ def _links(reps: DataFrame, radius: int, bucket: int, nearest: bool = False) ->
     rows = rows.join(sizes.hint("merge"), ["tab", "bucket"])
     small = rows.filter(F.col("members") <= bucket).withColumn("part", F.lit(0).cast("long"))
     large = rows.filter(F.col("members") > bucket)
-    if radius > 2 or nearest:
+    if radius > 2:
         small, large = small.unionByName(_in_parts(large, bucket)), None
     dealt = small.select("tab", "bucket", "part", "fp", "node").repartition("tab", "bucket", "part").sortWithinPartitions("tab", "bucket", "part")
-    compared = dealt.mapInArrow(partial(_compare, radius=radius, link=nearest_in_bucket if nearest else link_bucket), "a long, b long")
+    compared = dealt.mapInArrow(partial(_compare, radius=radius), "a long, b long")
     if large is None:
         return compared
     flips = F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda b: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))))
@@ -218,10 +208,10 @@ def _links(reps: DataFrame, radius: int, bucket: int, nearest: bool = False) ->
     return compared.unionByName(meets.select(F.col("node").alias("a"), "b").filter("a > b"))
 
 
-def _in_parts(large: DataFrame, bucket: int) -> DataFrame:
+def _in_parts(large: DataFrame, bucket: int, by: str = "fp") -> DataFrame:
     """Large buckets in pairs of parts: every two members meet in one, and none has more than about ``bucket`` members."""
     n = F.ceil(F.col("members") * 2 / F.lit(bucket)) + 1
-    own = large.withColumn("n", n).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("n")))
+    own = large.withColumn("n", n).withColumn("own", F.pmod(F.xxhash64(by), F.col("n")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))
     return own.withColumn("other", other).withColumn("part", 1 + F.least("own", "other") * F.col("n") + F.greatest("own", "other")).drop("n", "own", "other")
 
@@ -243,27 +233,98 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def _alike(candidates: DataFrame, docs: DataFrame, least: float, shingle: int) -> DataFrame:
-    """Candidate links (a, b) between texts whose word shingles have a Jaccard similarity of ``least`` or more."""
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """How many values each two of the sets have in common."""
+    n = len(sets)
+    values, rows = np.concatenate(sets), np.repeat(np.arange(n), [len(x) for x in sets])
+    _, at, times = np.unique(values, return_inverse=True, return_counts=True)
+    common = times[at] > 1
+    at, rows = at[common], rows[common]
+    order = np.argsort(at, kind="stable")
+    at, rows = np.unique(at[order], return_inverse=True)[1], rows[order]
+    counts = np.zeros((n, n))
+    for first in range(0, int(at[-1]) + 1 if len(at) else 0, WIDE):
+        a, b = np.searchsorted(at, [first, first + WIDE])
+        held = np.zeros((n, int(at[b - 1]) - first + 1), np.float32)
+        held[rows[a:b], at[a:b] - first] = 1
+        counts += held @ held.T
+    return counts
+
+
+def alike_in_group(nodes: list[int], fps: list[int], sets: list[np.ndarray], radius: int, least: float) -> list[tuple[int, int]]:
+    """(node, smallest node of its component inside the group) over all links: within the radius, and that similar."""
+    order = sorted(range(len(nodes)), key=nodes.__getitem__)
+    values = np.array([fps[i] for i in order], np.int64).view(np.uint64)
+    near = np.bitwise_count(values[:, None] ^ values[None, :]) <= radius
+    some = np.flatnonzero(near.sum(axis=1) > 1)
+    if not len(some):
+        return []
+    order, near = [order[i] for i in some], near[np.ix_(some, some)]
+    size = np.array([len(sets[i]) for i in order], np.float64)
+    shared = _shared([sets[i] for i in order])
+    linked = near & (shared >= least * (size[:, None] + size[None, :] - shared))
+    out, left = [], np.ones(len(order), bool)
+    for i in range(len(order)):
+        if left[i]:
+            left[i], todo = False, [i]
+            while todo:
+                found = np.flatnonzero(linked[todo.pop()] & left)
+                left[found] = False
+                todo.extend(found.tolist())
+                out.extend((nodes[order[j]], nodes[order[i]]) for j in found)
+    return out
+
+
+def _hold_against(batches: Iterator[pa.RecordBatch], radius: int, least: float) -> Iterator[pa.RecordBatch]:
+    """Groups come one after the other; one is held at a time."""
+    key, nodes, fps, sets = None, [], [], []
+    for batch in batches:
+        values, ends = batch.column("s").values.to_numpy(), batch.column("s").offsets.to_numpy()
+        rows = [batch.column(c).to_pylist() for c in ("component", "part", "node", "fp")]
+        for i, (*place, node, fp) in enumerate(zip(*rows, strict=True)):
+            if place != key:
+                if nodes:
+                    yield _edges(alike_in_group(nodes, fps, sets, radius, least))
+                key, nodes, fps, sets = place, [], [], []
+            nodes.append(node)
+            fps.append(fp)
+            sets.append(values[ends[i] : ends[i + 1]].copy())
+    if nodes:
+        yield _edges(alike_in_group(nodes, fps, sets, radius, least))
+
+
+def _alike(texts: DataFrame, reps: DataFrame, links: DataFrame, docs: DataFrame, radius: int, least: float, shingle: int) -> DataFrame:
+    """Edges that join all texts at most ``radius`` bits apart whose word shingles have a Jaccard similarity of ``least`` or more.
+
+    texts: fp, text_id, node, one row for each distinct text; reps: fp, node. All such pairs are inside the components of
+    ``links``, which join fingerprints, and there every pair of texts is tested: a component of up to
+    ``GROUP`` members as one group, a larger one in pairs of parts. A group answers with a forest, not with pairs.
+    """
     lowered = F.translate(text_or_empty(), ascii_uppercase, ascii_lowercase)
 
     def hashes(w):
         n = F.greatest(F.size(w) - shingle + 1, F.lit(1))
         return F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(w, i, shingle))))
 
-    nodes = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(nodes.hint("shuffle_hash"), "node", "left_semi")
-    sets = materialize(texts.select("node", let(words_of(lowered), hashes).alias("s")).dropDuplicates(["node"]), "shingles")
-    both = candidates.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.withColumn("n", shared).filter(F.col("n") >= least * (F.size("x") + F.size("y") - F.col("n"))).select("a", "b")
+    labels = components(links)
+    named = texts.join(reps.withColumnRenamed("node", "first"), "fp").join(labels.select(F.col("node").alias("first"), "component").hint("merge"), "first", "left")
+    named = named.select("fp", "text_id", "node", F.coalesce("component", "first").alias("component"))
+    sizes = named.groupBy("component").agg(F.count("*").alias("members")).filter("members > 1")
+    members = materialize(named.join(sizes.hint("merge"), "component"), "members")
+    placed = members.filter(F.col("members") <= GROUP).withColumn("part", F.lit(0).cast("long")).unionByName(_in_parts(members.filter(F.col("members") > GROUP), GROUP, "text_id"))
+    held = docs.select(F.col("doc_id").alias("node"), text_or_empty().alias("text")).withColumn("text_id", F.xxhash64("text")).join(members.select("node", "text_id").hint("shuffle_hash"), ["node", "text_id"], "left_semi")
+    sets = held.select("node", "text_id", let(words_of(lowered), hashes).alias("s")).dropDuplicates(["node", "text_id"])
+    rows = placed.join(sets.hint("merge"), ["node", "text_id"]).select("component", "part", "node", "fp", "s")
+    dealt = rows.repartition("component", "part").sortWithinPartitions("component", "part")
+    return dealt.mapInArrow(partial(_hold_against, radius=radius, least=least), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, bucket: int = BUCKET, least_similarity: float = 0.0, similarity_shingle: int = 5) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits), component_id (the smallest doc_id reachable over links).
 
     With ``least_similarity`` a link counts only if the texts' shingles are that similar (Jaccard), which allows for a
-    wider radius; each text is then held against the nearest earlier one of each of its buckets, not against all.
+    wider radius; all pairs of distinct texts within the radius are tested, those of
+    one fingerprint too. A null doc_id then joins its text's component.
 
     A null text has no words and fingerprint zero; texts with fewer words than ``shingle`` are one shingle; a null
     doc_id keeps its row and joins its fingerprint's component (null if nothing else is in it); repeated rows stay, each
@@ -272,15 +333,22 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     if not 0 <= radius <= 8:
         raise ValueError("the tables are for links of 0 to 8 bits")
     attach(docs.sparkSession)
-    found = docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(partial(_fingerprints, shingle=shingle), "doc_id long, fp long")
+    rows = docs.select("doc_id", text_or_empty().alias("text"))
+    if least_similarity > 0:
+        rows = rows.withColumn("text_id", F.xxhash64("text"))
+    key = [c for c in rows.columns if c == "text_id"] + ["fp"]
+    found = rows.mapInArrow(partial(_fingerprints, shingle=shingle), ", ".join(f"{c} long" for c in ["doc_id", *key]))
     found = materialize(found, "fingerprints")
-    reps = materialize(found.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "distinct-fingerprints")
-    links = _links(reps, radius, bucket, least_similarity > 0)
+    first = lambda *by: materialize(found.filter("doc_id is not null").groupBy(*by).agg(F.min("doc_id").alias("node")), "distinct-" + by[0])
+    reps = first("fp")
+    links = _links(reps, radius, bucket)
+    nodes = reps
     if least_similarity > 0:
-        links = _alike(materialize(links.distinct(), "candidates"), docs.select("doc_id", "text"), least_similarity, similarity_shingle)
+        nodes = first(*key)
+        links = _alike(nodes, reps, links, docs.select("doc_id", "text"), radius, least_similarity, similarity_shingle)
     labels = components(links)
-    named = reps.join(labels.hint("merge"), "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return found.join(named.hint("merge"), "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = nodes.join(labels.hint("merge"), "node", "left").select(*key, F.coalesce("component", "node").alias("component_id"))
+    return found.join(named.hint("merge"), key, "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
