@@ -5,11 +5,13 @@ from __future__ import annotations
 import html
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as X
 from plumbline.schemas import CHANGES
+from plumbline.session import reachable
 
 
 def page() -> Column:
@@ -82,24 +84,56 @@ def document_line() -> Column:
     return F.format_string("%s (%s, %s): %d pages, %d elements", F.col("pid"), F.col("format"), revision, F.col("page_count"), F.col("n_elements"))
 
 
-def report(deltas: DataFrame, stats: DataFrame, pair_id: str, most: int = 2000) -> dict[str, str]:
-    """JSON, Markdown and HTML of one pair. The driver holds ``most`` changes at the most; counts are of all."""
+def _cell(x: str | None) -> str:
+    return (x or "").replace("|", "\\|") or "—"
+
+
+def _line(change: str, kind: str) -> str:
+    """One change, given as JSON, in one of the three forms."""
+    r = json.loads(change)
+    if kind == "md":
+        return f"| {r['change_type']} | {r['element_type']} | {_cell(r['old_text'])} | {_cell(r['new_text'])} | {r['confidence']} |"
+    if kind == "html":
+        return f"<tr><td>{html.escape(r['change_type'])}</td><td>{html.escape(r['element_type'])}</td><td>{html.escape(r['old_text'] or '')}</td><td>{html.escape(r['new_text'] or '')}</td><td>{r['confidence']}</td></tr>"
+    return change
+
+
+def _ordered(deltas: DataFrame, pair_id: str) -> DataFrame:
+    """change: one pair's changes as JSON, in the order of the report."""
+    mine = deltas.filter(F.col("pair_id") == pair_id).orderBy("change_type", F.coalesce("old_element_id", F.lit("")), F.coalesce("new_element_id", F.lit("")))
+    return mine.select(F.to_json(F.struct(*deltas.columns), {"ignoreNullFields": "false"}).alias("change"))
+
+
+def write_changes(deltas: DataFrame, pair_id: str, folder: str) -> None:
+    """All changes of one pair, written by the executors as lines of JSON, Markdown and HTML; part files are in order."""
+    reachable(deltas.sparkSession)
+    rows = _ordered(deltas, pair_id)
+    for kind in ("json", "md", "html"):
+        rendered = lambda batches, kind=kind: (pd.DataFrame({"value": [_line(x, kind) for x in b["change"]]}) for b in batches)
+        rows.mapInPandas(rendered, "value string").write.text(f"{folder}/{kind}")
+
+
+def report(deltas: DataFrame, stats: DataFrame, pair_id: str, most: int = 2000, *, folder: str) -> dict[str, str]:
+    """JSON, Markdown and HTML of one pair: counts of all changes and the first ``most``; all are written to ``folder``.
+
+    Each text says how many it lists of how many, and where all are.
+    """
+    write_changes(deltas, pair_id, folder)
     mine = deltas.filter(F.col("pair_id") == pair_id)
     counts = {c: {r[c]: [r[x] for x in CHANGES] for r in t.filter(F.col("pair_id") == pair_id).drop("pair_id").orderBy(c).collect()} for c, t in (("element_type", by_element_type(mine)), ("page", by_page(mine)))}
-    rows = [json.loads(r[0]) for r in mine.orderBy("change_type", F.coalesce("old_element_id", F.lit("")), F.coalesce("new_element_id", F.lit(""))).limit(most).select(F.to_json(F.struct(*deltas.columns), {"ignoreNullFields": "false"})).collect()]
+    found = [r[0] for r in _ordered(deltas, pair_id).limit(most).collect()]
+    total = sum(map(sum, counts["element_type"].values()))
+    note = lambda kind: f"{len(found)} of {total} changes are listed here; all are in {folder}/{kind}"
     stat = [json.loads(r[0]) for r in stats.filter(F.col("pair_id") == pair_id).select(F.to_json(F.struct(*stats.columns))).limit(1).collect()]
     head = stat[0] if stat else {}
     lines = [f"# Changes of {pair_id}", "", *[f"- {k}: {v}" for k, v in head.items() if k not in ("pair_id", "warnings")]]
     lines += [f"- warning: {w['message']}" for w in head.get("warnings", [])]
     for name, table in counts.items():
         lines += ["", f"| {name} | {' | '.join(CHANGES)} |", "|" + "---|" * 4, *[f"| {k} | {' | '.join(map(str, v))} |" for k, v in table.items()]]
-    cell = lambda x: (x or "").replace("|", "\\|") or "—"
-    lines += ["", "| change | type | old | new | confidence |", "|---|---|---|---|---|"]
-    lines += [f"| {r['change_type']} | {r['element_type']} | {cell(r['old_text'])} | {cell(r['new_text'])} | {r['confidence']} |" for r in rows]
-    page_rows = "".join(f"<tr><td>{html.escape(r['change_type'])}</td><td>{html.escape(r['element_type'])}</td><td>{html.escape(r['old_text'] or '')}</td><td>{html.escape(r['new_text'] or '')}</td><td>{r['confidence']}</td></tr>" for r in rows)
+    lines += ["", note("md"), "", "| change | type | old | new | confidence |", "|---|---|---|---|---|", *[_line(x, "md") for x in found]]
     summary = "".join(f"<li>{html.escape(k)}: {html.escape(str(v))}</li>" for k, v in head.items() if k != "pair_id")
     return {
-        "json": json.dumps({"pair_id": pair_id, "stats": head, "counts": counts, "deltas": rows}, ensure_ascii=False),
+        "json": json.dumps({"pair_id": pair_id, "stats": head, "counts": counts, "note": note("json"), "deltas": [json.loads(x) for x in found]}, ensure_ascii=False),
         "md": "\n".join(lines) + "\n",
-        "html": f"<!DOCTYPE html><meta charset='utf-8'><title>{html.escape(pair_id)}</title><ul>{summary}</ul><table>{page_rows}</table>",
+        "html": f"<!DOCTYPE html><meta charset='utf-8'><title>{html.escape(pair_id)}</title><ul>{summary}</ul><p>{html.escape(note('html'))}</p><table>{''.join(_line(x, 'html') for x in found)}</table>",
     }
