@@ -128,3 +128,33 @@ def spread(starts, lengths):
         return np.zeros(0, np.int64)
     ends = np.cumsum(lengths)
     return np.arange(total, dtype=np.int64) - np.repeat(ends - lengths, lengths) + np.repeat(np.asarray(starts, np.int64), lengths)
+
+
+_KEEP = [(1 << 8 * n) - 1 for n in range(9)]
+#: Words up to this many bytes are their own number.
+PACKED = 15
+
+
+def packed(raw, starts, lengths):
+    """Two unsigned numbers for each byte string raw[start : start + length]: its bytes and, in the top byte, its length.
+
+    Different strings of up to PACKED bytes have different pairs. The pairs of longer ones are to be put by the caller.
+    """
+    import numpy as np
+
+    padded = np.zeros(len(raw) + 16, np.uint8)
+    padded[: len(raw)] = raw
+    at = np.ndarray(len(raw) + 9, np.dtype("<u8"), buffer=padded, strides=(1,))
+    keep = np.array(_KEEP, np.uint64)
+    a = at[starts] & keep[np.minimum(lengths, 8)]
+    b = at[np.minimum(starts + 8, len(raw))] & keep[np.clip(lengths - 8, 0, 7)]
+    return a, b | (np.minimum(lengths, 255).astype(np.uint64) << np.uint64(56))
+
+
+def mixed(h):
+    """A 64-bit finaliser: every bit of the result depends on every bit of ``h``."""
+    import numpy as np
+
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))

@@ -8,7 +8,7 @@ States are kept copy-on-write, as that is what a gadget makes: the state of ``w`
 rule's time less later removals, and arc ``w`` leaves the states that arc ``u`` leaves as of then. So the tables hold
 one removal and one (left, right, time) entry per rule, and an arc test walks these entries: from pair (x, y) to the
 pair it was copied from, until a removal that came in time (no arc) or two bytes (arc). Words are pre-split, made
-distinct, and all distinct words of a slice step through the tables together.
+distinct, and all distinct words of a slice step through the tables together. Words are told apart by their bytes.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import json
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,14 +24,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from plumbline.llm._common import attach, documents, slices, spread, text_or_empty, utf8
+from plumbline.llm._common import PACKED, attach, documents, mixed, packed, slices, spread, text_or_empty, utf8
 
 #: Words that one worker keeps encoded; beyond it the cache starts anew. Speed only.
 CACHE_WORDS = 800_000
+#: Bytes of kept words of more than PACKED bytes.
+CACHE_BYTES = 8 << 20
 SLICE_BYTES = 3 << 20
+#: Words of more bytes are walked one by one, each byte once.
+LONG_WORD = 1024
+#: Arc tests that a worker remembers for them.
+ARCS = 200_000
 
 _NEVER = np.int64(1) << 40
-_P1, _P2 = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
+_P1 = 0x9E3779B97F4A7C15 | 1
+_LONG = 255 << 56
 
 
 def default_vocabulary() -> str:
@@ -142,11 +150,14 @@ class Automaton:
         self.trie = _Table([a << 8 | b for a, b in nodes], list(nodes.values()))
         self.token_of = np.array(token, np.int64)
         self.kind = _classes()
+        self.alone = None  # made when the first long word comes
         self._fresh()
 
     def _fresh(self) -> None:
         self.known, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted hashes, and where their words stand
-        self.second = np.zeros(0, np.uint64)
+        self.pair = np.zeros((2, 0), np.uint64)  # the words themselves, as numbers
+        self.long_words: dict[bytes, int] = {}
+        self.long_bytes = 0
         self.start, self.count, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def has_arc(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -200,21 +211,17 @@ class Automaton:
         words = np.flatnonzero(starts)
         return begins[words], np.searchsorted(words, first)
 
-    def _hashes(self, data: bytes, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two 64-bit hashes of each word."""
-        raw = np.frombuffer(data, np.uint8)
-        out = []
-        for mul, mix in ((_P1, 0x2545F4914F6CDD1D), (_P2, 0x9FB21C651E98DF25)):
-            table = (np.arange(1, 257, dtype=np.uint64) * np.uint64(mix)) ^ (np.arange(1, 257, dtype=np.uint64) << np.uint64(33))
-            powers = _powers(mul, len(raw) + 1)
-            run = np.zeros(len(raw) + 1, np.uint64)
-            np.cumsum(table[raw] * powers[:-1], out=run[1:])
-            h = (run[starts + lengths] - run[starts]) * _powers(pow(mul, -1, 1 << 64), len(raw) + 1)[starts]
-            h ^= lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-            h ^= h >> np.uint64(32)
-            h *= np.uint64(0xD6E8FEB86659FD93)
-            out.append(h ^ (h >> np.uint64(29)))
-        return out[0], out[1]
+    def _identity(self, data: bytes, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Two numbers of each word that no other word has: its bytes, or its place among the long words met so far."""
+        a, b = packed(np.frombuffer(data, np.uint8), starts, lengths)
+        for i in np.flatnonzero(lengths > PACKED).tolist():
+            word = data[starts[i] : starts[i] + lengths[i]]
+            place = self.long_words.get(word)
+            if place is None:
+                place = self.long_words[word] = len(self.long_words)
+                self.long_bytes += len(word)
+            a[i], b[i] = place, _LONG
+        return np.stack((a, b))
 
     def encode(self, data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all texts, and each text's offset in them. Special tokens' strings are not treated here."""
@@ -222,29 +229,30 @@ class Automaton:
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
         lengths = np.diff(np.append(starts, len(data)))
-        h1, h2 = self._hashes(data, starts, lengths)
-        distinct, index, which = _distinct(h1)
-        odd = np.flatnonzero(h2 != h2[index][which])  # equal first hash, other word: each such word on its own
+        if len(self.known) > CACHE_WORDS or self.long_bytes > CACHE_BYTES:
+            self._fresh()
+        pair = self._identity(data, starts, lengths)
+        h = mixed(pair[0] ^ mixed(pair[1]))
+        distinct, index, which = _distinct(h)
+        odd = np.flatnonzero((pair != pair[:, index][:, which]).any(axis=0))  # equal hash, other word: each such word on its own
         if len(odd):
             which[odd] = len(distinct) + np.arange(len(odd))
             index = np.concatenate((index, odd))
-        rows = self._rows(data, h1[index], h2[index], starts[index], lengths[index], len(distinct))
+        rows = self._rows(data, h[index], pair[:, index], starts[index], lengths[index], len(distinct))
         per_word = rows[which]
         count = self.count[per_word]
         ids = self.flat[spread(self.start[per_word], count)]
         ends = np.concatenate(([0], np.cumsum(count)))
         return ids, ends[first]
 
-    def _rows(self, data, h1, h2, starts, lengths, plain: int) -> np.ndarray:
+    def _rows(self, data, h, pair, starts, lengths, plain: int) -> np.ndarray:
         """Where each distinct word's tokens stand in the cache; unknown words are encoded first."""
-        if len(self.known) > CACHE_WORDS:
-            self._fresh()
-        rows = np.full(len(h1), -1, np.int64)
-        hit = np.zeros(len(h1), bool)
+        rows = np.full(len(h), -1, np.int64)
+        hit = np.zeros(len(h), bool)
         if len(self.known):
-            slot = np.minimum(np.searchsorted(self.known, h1[:plain]), len(self.known) - 1)
+            slot = np.minimum(np.searchsorted(self.known, h[:plain]), len(self.known) - 1)
             rows[:plain] = self.row[slot]
-            hit[:plain] = (self.known[slot] == h1[:plain]) & (self.second[rows[:plain]] == h2[:plain])
+            hit[:plain] = (self.known[slot] == h[:plain]) & (self.pair[:, rows[:plain]] == pair[:, :plain]).all(axis=0)
         new = np.flatnonzero(~hit)
         if len(new):
             flat, count = self._encode_words(np.frombuffer(data, np.uint8), starts[new], lengths[new])
@@ -253,31 +261,91 @@ class Automaton:
             self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(count) - count))
             self.count = np.concatenate((self.count, count))
             self.flat = np.concatenate((self.flat, flat.astype(np.int32)))
-            self.second = np.concatenate((self.second, h2[new]))
+            self.pair = np.concatenate((self.pair, pair[:, new]), axis=1)
             add = new[new < plain]
-            slot = np.searchsorted(self.known, h1[add])
-            self.known, self.row = np.insert(self.known, slot, h1[add]), np.insert(self.row, slot, rows[add])
+            slot = np.searchsorted(self.known, h[add])
+            self.known, self.row = np.insert(self.known, slot, h[add]), np.insert(self.row, slot, rows[add])
         return rows
 
     def _encode_words(self, raw, starts, lengths) -> tuple[np.ndarray, np.ndarray]:
-        """Walk all words through the automaton in lockstep; very long ones by themselves, so that memory stays low."""
+        """Walk all words through the automaton in lockstep; long ones by themselves, as lockstep pays for many words only."""
         order = np.argsort(lengths, kind="stable")
         outs, at = [], 0
         counts = np.zeros(len(starts), np.int64)
-        while at < len(order):
-            total = np.cumsum(lengths[order[at:]])
+        short = int(np.searchsorted(lengths[order], LONG_WORD, side="right"))
+        for i in order[short:].tolist():
+            tokens = self._walk_alone(raw[starts[i] : starts[i] + lengths[i]].tobytes())
+            counts[i] = len(tokens)
+            outs.append(tokens)
+        longs, outs = outs, []
+        while at < short:
+            total = np.cumsum(lengths[order[at:short]])
             to = at + max(1, int(np.searchsorted(total, 1 << 20)))
             part = order[at:to]
             flat, count = self._walk(raw, starts[part], lengths[part])
             counts[part] = count
             outs.append(flat)
             at = to
-        flat = np.concatenate(outs)
+        flat = np.concatenate([*outs, *longs])
         begin = np.zeros(len(starts), np.int64)
         sorted_counts = counts[order]
         begin[order] = np.cumsum(sorted_counts) - sorted_counts
         return flat[spread(begin, counts)], counts
 
+    def _arc_test(self):
+        """``has_arc`` of one pair, with what was asked before."""
+        keys = self.removed.keys >= 0
+        removed = dict(zip(self.removed.keys[keys].tolist(), self.removed.values[keys].tolist(), strict=True))
+        time, left, right, size, seen = self.time.tolist(), self.left.tolist(), self.right.tolist(), self.size, {}
+
+        def test(x: int, y: int) -> bool:
+            asked = x * size + y
+            found = seen.get(asked)
+            if found is None:
+                if len(seen) > ARCS:
+                    seen.clear()
+                until = _NEVER
+                while found is None:
+                    gone = removed.get(x * size + y, -1)
+                    tx, ty = time[x], time[y]
+                    if 0 <= gone < until:
+                        found = False
+                    elif tx < 0 and ty < 0:
+                        found = True
+                    else:
+                        until = ty + 1 if ty > tx else tx
+                        x, y = right[x] if tx >= ty else x, left[y] if ty >= tx else y
+                seen[asked] = found
+            return found
+
+        return test
+
+    def _walk_alone(self, word: bytes) -> np.ndarray:
+        """The tokens of one long word, byte by byte, in time and memory that grow with its length."""
+        if self.alone is None:
+            keys = self.trie.keys >= 0
+            self.alone = dict(zip(self.trie.keys[keys].tolist(), self.trie.values[keys].tolist(), strict=True)), self.token_of.tolist(), self._arc_test()
+        trie, token_of, has_arc = self.alone
+        into = array("i", [-1]) * len(word)  # the token that ends the only path to here, kept at its last byte
+        before = -1
+        for p in range(len(word)):
+            if p:
+                before = into[p - 1]
+                if before < 0:
+                    continue
+            node, q = 0, p
+            while q < len(word) and (node := trie.get(node << 8 | word[q], -1)) >= 0:
+                t = token_of[node]
+                if t >= 0 and (before < 0 or has_arc(before, t)):
+                    into[q] = t
+                q += 1
+        out, at = array("i"), len(word)
+        lengths = self.label_length
+        while at:
+            out.append(into[at - 1])
+            at -= int(lengths[into[at - 1]])
+        return np.array(out, np.int64)[::-1]
+
     def _walk(self, raw, starts, lengths) -> tuple[np.ndarray, np.ndarray]:
         text = raw[spread(starts, lengths)].astype(np.int64)
         ends = np.cumsum(lengths)
@@ -371,21 +439,6 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ranked[fresh], order[fresh], which
 
 
-_power_cache: dict[int, np.ndarray] = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    have = _power_cache.get(base)
-    if have is None or len(have) < n:
-        have = np.empty(max(n, SLICE_BYTES + (1 << 16)), np.uint64)
-        have[0] = 1
-        have[1:] = np.uint64(base & (1 << 64) - 1)
-        np.multiply.accumulate(have, out=have)
-        if len(have) <= 2 * SLICE_BYTES:
-            _power_cache[base] = have
-    return have[:n]
-
-
 _compiled: dict[str, Automaton] = {}
 
 
