@@ -1,14 +1,19 @@
 """Removing passages that repeat across documents, by level-wise doubling.
 
-Level one looks at windows of half the length. Every full window is represented by the smallest hash among the half
-windows inside it, so equal full windows have equal representatives, and only about a quarter of the half windows are
-ever shuffled. Representatives seen in one document only are dropped; the full windows of the others are extended to
-twice the length, which is the full length, and counted in the same way. Windows repeated at that level are removed
-from all documents but the first. ``repeated_lengths`` goes on doubling until no window repeats.
+Level one looks at windows of half the length (7 words for 13). Every full window is represented by the smallest hash
+among the half windows inside it, so equal full windows have equal representatives, and only about a quarter of the
+half windows are ever shuffled. Representatives seen in one document only are dropped; where one survives, its two
+half windows are put together to the window of the full length, and counted in the same way. Windows repeated at that
+level are removed from all documents but the first. ``repeated_lengths`` carries the places that survive on to twice
+the length, and so on, until none does.
 
 Both levels send, for each group of neighbouring documents, one row per distinct window, and get back one row per
 window of that group that matters. So a passage that a third of all documents share makes as many rows as there are
-document groups, not as there are documents or pairs of them.
+document groups, not as there are documents or pairs of them. Groups come to Python as a sorted stream, their windows
+before their documents: a task holds one group's surviving windows and one slice of texts, and a long document is a
+group of its own.
+
+A word of up to 15 bytes is its own number, a longer one its XXH3-128; windows are 128 bits of finalised mixes of those.
 """
 
 from __future__ import annotations
@@ -22,24 +27,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm._common import attach, documents, materialize, slices, spread, utf8
+from plumbline.llm._common import PACKED, attach, documents, materialize, mixed, packed, slices, spread, utf8
 
 WINDOW = 13
 #: Documents of one group: doc_ids that agree above this many low bits.
 GROUP_BITS = 9
+#: Bytes from which a document is a group of its own.
+LONG_TEXT = 1 << 18
 SLICE_BYTES = 4 << 20
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_SEEDS = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
 class Words:
     """Words of many texts: where they stand, and two hashes of each."""
 
@@ -62,17 +64,20 @@ class Words:
         self.raw, self.data = raw, data
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
-        """Sums of mixed bytes times powers of an odd number, made independent of the place by dividing again."""
-        from plumbline.llm.bpe import _powers
+        """Two 64-bit hashes of each word."""
+        import xxhash
+
+        lengths = self.ends - self.starts
+        a, b = packed(self.raw, self.starts, lengths)
+        for i in np.flatnonzero(lengths > PACKED).tolist():
+            digest = xxhash.xxh3_128_intdigest(self.data[self.starts[i] : self.ends[i]], 1)
+            a[i], b[i] = digest >> 64, digest & 0xFFFFFFFFFFFFFFFF
+        return tuple(mixed((a ^ mixed(b ^ seed)) * m + b) for m, seed in zip((_M1, _M2), _SEEDS, strict=True))
 
-        out, n = [], len(self.raw) + 1
-        for base, seed in ((0x9E3779B97F4A7C15, 1), (0xC2B2AE3D27D4EB4F, 2)):
-            table = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(2 * seed + 1))
-            run = np.zeros(n, np.uint64)
-            np.cumsum(table[self.raw] * _powers(base, n)[:-1], out=run[1:])
-            h = (run[self.ends] - run[self.starts]) * _powers(pow(base, -1, 1 << 64), n)[self.starts]
-            out.append(_mix(h ^ (self.ends - self.starts).astype(np.uint64)))
-        return out[0], out[1]
+
+def _joined(a: np.ndarray, b: np.ndarray, step: int, mul: np.uint64) -> np.ndarray:
+    """Hashes of windows from those of their first and their last part, ``step`` words apart."""
+    return mixed(a * mul + b + np.uint64(step))
 
 
 def _doubled(h: np.ndarray, have: int, want: int, mul: np.uint64) -> np.ndarray:
@@ -81,29 +86,29 @@ def _doubled(h: np.ndarray, have: int, want: int, mul: np.uint64) -> np.ndarray:
         step = min(have, want - have)
         if len(h) <= step:
             return h[:0]
-        h = _mix(h[:-step] * mul + h[step:] + np.uint64(have))
+        h = _joined(h[:-step], h[step:], step, mul)
         have += step
     return h
 
 
 def _windows(words: Words, length: int):
-    """(start index, half-window representative) of all windows of ``length`` words that lie in one text, and hashes to extend."""
-    h1, h2 = words.hashes()
+    """(start index, half-window representative) of all windows of ``length`` words that lie in one text, and the half windows' hashes."""
     half = (length + 1) // 2
-    low = _doubled(h1, 1, half, _M1)
-    n = len(h1) - length + 1
+    low = [_doubled(h, 1, half, m) for h, m in zip(words.hashes(), (_M1, _M2), strict=True)]
+    n = len(words.starts) - length + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), (h1, h2)
-    least = low[:n].copy()
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), low
+    least = low[0][:n].copy()
     for o in range(1, length - half + 1):
-        np.minimum(least, low[o : o + n], out=least)
+        np.minimum(least, low[0][o : o + n], out=least)
     start = np.flatnonzero(words.text[:n] == words.text[length - 1 :])
-    return start, least[start], (h1, h2)
+    return start, least[start], low
 
 
-def _full(hashes, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    h1, h2 = (_doubled(h, 1, length, m) for h, m in zip(hashes, (_M1, _M2), strict=True))
-    return h1[starts].view(np.int64), (h2[starts] >> np.uint64(33)).astype(np.int32)
+def _full(low, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The windows at ``starts``, each put together from the half window it begins with and the one it ends with."""
+    step = length - (length + 1) // 2
+    return tuple(_joined(h[starts], h[starts + step], step, m).view(np.int64) for h, m in zip(low, (_M1, _M2), strict=True))
 
 
 def _ranges(keys: list[np.ndarray], docs: np.ndarray):
@@ -121,15 +126,15 @@ def _ranges(keys: list[np.ndarray], docs: np.ndarray):
 def _half_level(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text", SLICE_BYTES):
-            ids = part.column("doc_id").to_numpy(zero_copy_only=False)
+            ids, groups = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "grp"))
             words = Words(*utf8(part.column("text")))
             start, least, _ = _windows(words, length)
             text = words.text[start]
             fresh = np.ones(len(start), bool)
             if len(start):
                 fresh[1:] = (least[1:] != least[:-1]) | (text[1:] != text[:-1])
-            docs = ids[text[fresh]]
-            (group, key), lo, hi = _ranges([docs >> GROUP_BITS, least[fresh].view(np.int64)], docs)
+            text = text[fresh]
+            (group, key), lo, hi = _ranges([groups[text], least[fresh].view(np.int64)], ids[text])
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (key, group, lo, hi)], names=["key", "grp", "lo", "hi"])
 
 
@@ -139,53 +144,65 @@ def _known(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return sorted_keys[np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)] == keys
 
 
-def _parts(table: pa.Table, text: str):
-    for batch in table.combine_chunks().to_batches():
-        yield from slices(batch, text, SLICE_BYTES)
-
-
-def _full_level(docs: pa.Table, survivors: pa.Table, length: int) -> pa.Table:
-    out = {"key": [], "check": [], "lo": [], "hi": []}
-    alive = np.sort(survivors.column("key").to_numpy())
-    group = None
-    if len(alive) and docs.num_rows:
-        group = docs.column("grp")[0].as_py()
-        for part in _parts(docs, "text"):
-            ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-            words = Words(*utf8(part.column("text")))
-            start, least, hashes = _windows(words, length)
-            start = start[_known(alive, least.view(np.int64))]
-            key, check = _full(hashes, start, length)
-            (key, check), lo, hi = _ranges([key, check], ids[words.text[start]])
-            for name, values in zip(out, (key, check, lo, hi), strict=True):
-                out[name].append(values)
-    kinds = {"key": np.int64, "check": np.int32, "lo": np.int64, "hi": np.int64}
-    joined = {k: np.concatenate(v) if v else np.zeros(0, kinds[k]) for k, v in out.items()}
-    (key, check), lo, _ = _ranges([joined["key"], joined["check"]], joined["lo"])
-    _, _, hi = _ranges([joined["key"], joined["check"]], joined["hi"])
-    return pa.table({"key": key, "check": check, "grp": np.full(len(key), group if group is not None else 0, np.int64), "lo": lo, "hi": hi})
-
-
-def _earlier(key, check, docs, table) -> np.ndarray:
-    """Whether each window also starts in a smaller document, from sorted (key, check, smallest document)."""
-    keys, checks, lows = table
-    out = np.zeros(len(key), bool)
-    if not len(keys):
-        return out
+def _told(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]):
+    """From a stream of windows and documents sorted by group, windows first: (group, its windows' columns, slice of documents)."""
+    group, held, table = None, [], None
+    for batch in batches:
+        groups = batch.column("grp").to_numpy()
+        is_doc = batch.column("is_doc").to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero((groups[1:] != groups[:-1]) | (is_doc[1:] != is_doc[:-1])) + 1 if batch.num_rows else []
+        for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            if a == b:
+                continue
+            if groups[a] != group:
+                group, held, table = groups[a], [], None
+            if not is_doc[a]:
+                held.append([batch.column(c).slice(a, b - a).to_numpy() for c in names])
+                continue
+            if table is None:
+                columns = [np.concatenate(x) for x in zip(*held, strict=True)] if held else [np.zeros(0, np.int64) for _ in names]
+                order = np.lexsort(columns[::-1])
+                table, held = [c[order] for c in columns], []
+            docs = pa.RecordBatch.from_struct_array(batch.column("doc").slice(a, b - a))
+            for part in slices(docs, "text", SLICE_BYTES):
+                yield int(group), table, part
+
+
+def _full_level(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    names = ["key", "check", "grp", "lo", "hi"]
+    for group, (alive,), part in _told(batches, ("key",)):
+        if not len(alive):
+            continue
+        ids = part.column("doc_id").to_numpy(zero_copy_only=False)
+        words = Words(*utf8(part.column("text")))
+        start, least, low = _windows(words, length)
+        start = start[_known(alive, least.view(np.int64))]
+        keys, lo, hi = _ranges([*_full(low, start, length)], ids[words.text[start]])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (*keys, np.full(len(lo), group, np.int64), lo, hi)], names=names)
+
+
+def _at(key, check, table) -> np.ndarray:
+    """Where in a table sorted by key and check each window stands; -1 where it doesn't."""
+    keys, checks, _ = table
+    out = np.full(len(key), -1, np.int64)
     at = np.searchsorted(keys, key)
     todo = np.arange(len(key))
-    while len(todo):  # more than once only where two windows share the first hash
-        inside = at[todo] < len(keys)
-        todo = todo[inside]
+    while len(todo):  # more than once only where windows share the first hash
+        todo = todo[at[todo] < len(keys)]
         todo = todo[keys[at[todo]] == key[todo]]
         hit = checks[at[todo]] == check[todo]
-        done = todo[hit]
-        out[done] = lows[at[done]] < docs[done]
+        out[todo[hit]] = at[todo[hit]]
         todo = todo[~hit]
         at[todo] += 1
     return out
 
 
+def _earlier(key, check, docs, table) -> np.ndarray:
+    """Whether each window also starts in a smaller document, from sorted (key, check, smallest document)."""
+    at = _at(key, check, table)
+    return (at >= 0) & (table[2][at] < docs) if len(table[2]) else np.zeros(len(key), bool)
+
+
 def _covered(words: Words, starts: np.ndarray, length: int) -> np.ndarray:
     edge = np.zeros(len(words.starts) + 1, np.int64)
     np.add.at(edge, starts, 1)
@@ -199,8 +216,8 @@ def _cut(part: pa.RecordBatch, length: int, table, digest: bool):
     words = Words(data, offsets)
     gone = np.zeros(len(words.starts), bool)
     if table is not None and len(table[0]):
-        start, _, hashes = _windows(words, length)
-        key, check = _full(hashes, start, length)
+        start, _, low = _windows(words, length)
+        key, check = _full(low, start, length)
         gone = _covered(words, start[_earlier(key, check, ids[words.text[start]], table)], length)
     counts = np.diff(words.first)
     run = np.concatenate(([0], np.cumsum(gone)))
@@ -225,10 +242,9 @@ def _cut(part: pa.RecordBatch, length: int, table, digest: bool):
     return counts, removed, value
 
 
-def _last(docs: pa.Table, repeated: pa.Table, length: int, digest: bool, columns: list[str]) -> pa.Table:
-    key, check, lo = (repeated.column(c).to_numpy() for c in ("key", "check", "lo"))
-    order = np.lexsort((check, key))
-    return pa.Table.from_batches(_answer(_parts(docs, "text"), length, (key[order], check[order], lo[order]), digest, columns), schema=_shape(docs.schema, digest, columns))
+def _last(batches: Iterator[pa.RecordBatch], length: int, digest: bool, columns: list[str]) -> Iterator[pa.RecordBatch]:
+    for _, table, part in _told(batches, ("key", "check", "lo")):
+        yield from _answer([part], length, table, digest, columns)
 
 
 def _shape(schema: pa.Schema, digest: bool, columns: list[str]) -> pa.Schema:
@@ -249,20 +265,35 @@ def _unnumbered(batches, length, digest, columns):
         yield from _answer(slices(batch, "text", SLICE_BYTES), length, None, digest, columns)
 
 
+def _group() -> F.Column:
+    """The group that a document's windows are counted in."""
+    own = F.shiftleft(F.col("doc_id").cast("long"), 1)
+    return F.when(F.octet_length("text") >= LONG_TEXT, own.bitwiseOR(F.lit(1).cast("long"))).otherwise(F.shiftleft(F.shiftright(F.col("doc_id").cast("long"), GROUP_BITS), 1))
+
+
+def _streamed(docs: DataFrame, windows: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """Documents (columns grp, doc) and windows (grp, names) of each group as one sorted stream, see ``_told``."""
+    rows = docs.select("grp", F.lit(True).alias("is_doc"), *[F.lit(None).cast("long").alias(n) for n in names], "doc")
+    keys = windows.select("grp", F.lit(False).alias("is_doc"), *names, F.lit(None).cast(docs.schema["doc"].dataType).alias("doc"))
+    return keys.unionByName(rows).repartition("grp").sortWithinPartitions("grp", "is_doc")
+
+
 def repeated_windows(docs: DataFrame, length: int = WINDOW) -> DataFrame:
     """Windows of ``length`` words that start in more than one document: grp, key, check, lo (the smallest such doc_id).
 
-    One row per window and group of neighbouring documents that has a later document with it.
+    One row per window and group of neighbouring documents that has a later document with it (more, where a group is
+    read in several slices).
     """
-    rows = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
-    grouped = rows.withColumn("grp", F.shiftright("doc_id", GROUP_BITS))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
+    rows = rows.select(_group().alias("grp"), "doc_id", "text")
     same = Window.partitionBy("key")
     half = rows.mapInArrow(partial(_half_level, length=length), "key long, grp long, lo long, hi long")
     half = half.withColumns({"lo": F.min("lo").over(same), "hi": F.max("hi").over(same)}).filter("lo < hi").select("grp", "key")
     half = materialize(half, "half-windows")
-    full = grouped.groupBy("grp").cogroup(half.groupBy("grp")).applyInArrow(lambda d, s: _full_level(d, s, length), "key long, check int, grp long, lo long, hi long")
+    stream = _streamed(rows.select("grp", F.struct("doc_id", "text").alias("doc")), half, ("key",))
+    full = stream.mapInArrow(partial(_full_level, length=length), "key long, check long, grp long, lo long, hi long")
     same = Window.partitionBy("key", "check")
-    full = full.withColumn("lo", F.min("lo").over(same)).filter("lo < hi").select("grp", "key", "check", "lo")
+    full = full.withColumns({"lo": F.min("lo").over(same), "hi": F.max("hi").over(same)}).filter("lo < hi").select("grp", "key", "check", "lo")
     return materialize(full, "windows")
 
 
@@ -273,8 +304,8 @@ def dedup_substrings(docs: DataFrame, length: int = WINDOW, digest: bool = False
     kept_sha256 (kept words joined by one space) in place of the columns. Windows are judged on the input.
 
     A null text has no words and stays null; a null doc_id is never smaller than another, and its document stays
-    whole; rows that repeat a doc_id count as one document's; an empty table stays empty. Columns named like the
-    results are replaced.
+    whole; rows that repeat a doc_id count as one document's, and are one task's work; an empty table stays empty.
+    Columns named like the results are replaced.
     """
     attach(docs.sparkSession)
     docs = docs.drop("n_words", "n_removed", "kept_sha256")
@@ -283,25 +314,63 @@ def dedup_substrings(docs: DataFrame, length: int = WINDOW, digest: bool = False
     kept = docs.select(*columns).schema.add("n_words", "long").add("n_removed", "long")
     if digest:
         kept = kept.add("kept_sha256", "string")
-    group = next(x for x in ("grp", "grp_", "grp__", "_grp_of_documents") if x not in docs.columns)
     found = repeated_windows(docs, length)
-    numbered = docs.filter("doc_id is not null").withColumn(group, F.shiftright("doc_id", GROUP_BITS))
-    cut = numbered.groupBy(group).cogroup(found.groupBy("grp")).applyInArrow(lambda d, r: _last(d, r, length, digest, columns), kept)
+    numbered = docs.filter("doc_id is not null")
+    stream = _streamed(numbered.select(_group().alias("grp"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")), found, ("key", "check", "lo"))
+    cut = stream.mapInArrow(partial(_last, length=length, digest=digest, columns=columns), kept)
     plain = docs.filter("doc_id is null").mapInArrow(partial(_unnumbered, length=length, digest=digest, columns=columns), kept)
     return cut.unionByName(plain)
 
 
-def repeated_lengths(docs: DataFrame, length: int = WINDOW, most: int = 1 << 20) -> DataFrame:
-    """How many windows repeat at each length, doubling from ``length`` until none does: length, n_windows."""
+def _places(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    for _, table, part in _told(batches, ("key", "check", "lo")):
+        if not len(table[0]):
+            continue
+        ids, rows = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "row"))
+        words = Words(*utf8(part.column("text")))
+        start, _, low = _windows(words, length)
+        key, check = _full(low, start, length)
+        text = words.text[start]
+        at = _at(key, check, table) >= 0
+        place = start - words.first[text]
+        yield pa.RecordBatch.from_arrays([pa.array(x[at], pa.int64()) for x in (rows[text], ids[text], place, key, check)], names=["row", "doc_id", "at", "key", "check"])
+
+
+def repeated_places(docs: DataFrame, length: int = WINDOW) -> DataFrame:
+    """Where windows of ``length`` words stand that start in more than one document: row, doc_id, at (word), key, check."""
+    found = repeated_windows(docs, length)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
+    rows = rows.select(_group().alias("grp"), F.struct("doc_id", "text", F.xxhash64("doc_id", "text").alias("row")).alias("doc"))
+    return _streamed(rows, found, ("key", "check", "lo")).mapInArrow(partial(_places, length=length), "row long, doc_id long, at long, key long, check long").distinct()
+
+
+def extended(places: DataFrame, length: int) -> DataFrame:
+    """Of surviving places of windows of ``length`` words, those whose window of twice that length repeats too.
+
+    Only the survivors are looked at: a place goes on if the place ``length`` words behind it survived as well.
+    """
+    behind = places.select("row", (F.col("at") - length).alias("at"), F.col("key").alias("k2"), F.col("check").alias("c2"))
+    both = places.join(behind, ["row", "at"]).select("row", "doc_id", "at", F.xxhash64("key", "k2").alias("key"), F.xxhash64("check", "c2", "key").alias("check"))
+    both = materialize(both, "longer")
+    again = both.groupBy("key", "check").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("key", "check")
+    return materialize(both.join(again.hint("merge"), ["key", "check"]).select("row", "doc_id", "at", "key", "check"), "places")
+
+
+def repeated_lengths(docs: DataFrame, length: int = WINDOW) -> DataFrame:
+    """How many windows repeat at each length, doubling from ``length`` until none does: length, n_windows.
+
+    Null texts and null doc_ids take no part; rows that repeat a doc_id and a text count once; an empty table gives
+    one row with no windows. The texts are read for the first length only.
+    """
     spark = docs.sparkSession
     attach(spark)
-    out, n = [], 1
-    while n and length <= most:
-        found = repeated_windows(docs, length)
-        n = found.select("key", "check").distinct().count()
+    places, out = materialize(repeated_places(docs, length), "places"), []
+    while True:
+        n = places.select("key", "check").distinct().count()
         out.append((length, n))
-        length *= 2
-    return spark.createDataFrame(out, "length int, n_windows long")
+        if not n:
+            return spark.createDataFrame(out, "length int, n_windows long")
+        places, length = extended(places, length), 2 * length
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
