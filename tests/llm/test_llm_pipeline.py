@@ -29,7 +29,7 @@ def test_decisions_take_effect(stages):
     _, docs, kept = stages[0]
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in quality.measure(docs).filter("kept").collect()}
     _, docs, kept = stages[1]
-    groups = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    groups = {r.doc_id: r.component_id for r in simhash.similar_texts(docs).collect()}
     assert {r.doc_id for r in kept.collect()} == {i for i, c in groups.items() if i == c}
     _, docs, cut = stages[2]
     texts = {r.doc_id: r.text for r in substring_dedup.dedup_substrings(docs).collect()}
