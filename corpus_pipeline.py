@@ -26,14 +26,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return _shaped(judged.filter("kept").withColumn("text", F.col("text_cleaned")))
 
 
-#: Fingerprints of two-word shingles at six bits reach most texts whose five-word shingles are 0.8 alike; all pairs within that are asked for it.
-NEAR = {"shingle": 2, "radius": 6, "least_similarity": 0.8, "similarity_shingle": 5}
-
-
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate group the document with the smallest id stays; rows of that id stay together."""
     docs = docs.select(*COLUMNS)
-    groups = simhash.near_duplicates(docs, **NEAR)
+    groups = simhash.similar_texts(docs)
     first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(first.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
 
