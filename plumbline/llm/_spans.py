@@ -8,22 +8,45 @@ from pyspark.sql import functions as F
 from plumbline.llm.quality import let
 
 _STEP = 64
+#: Code points of a piece of text. Positions are found by piece, as a substring is counted from its string's start.
+_PIECE = 512
 
 
-def running(lengths: Column) -> Column:
-    """Sums of all values before each, as an array. Two levels, so that many values don't cost their square."""
+def _running(values: Column, start, step) -> Column:
+    """``step`` over all values before each, as an array. Two levels, so that many values don't cost their square."""
+    zero = F.lit(start).cast("long")
 
-    def inner(values: Column, base: Column) -> Column:
-        start = F.struct(base.cast("long").alias("sum"), F.array().cast("array<long>").alias("out"))
-        return F.aggregate(values, start, lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.array_append(a["out"], a["sum"]).alias("out")))["out"]
+    def inner(part: Column, base: Column) -> Column:
+        first = F.struct(base.cast("long").alias("now"), F.array().cast("array<long>").alias("out"))
+        return F.aggregate(part, first, lambda a, x: F.struct(step(a["now"], x).alias("now"), F.array_append(a["out"], a["now"]).alias("out")))["out"]
 
     def outer(parts: Column) -> Column:
-        sums = F.transform(parts, lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda a, x: a + x))
-        bases = inner(sums, F.lit(0))
-        return let(bases, lambda b: F.flatten(F.transform(parts, lambda p, i: inner(p, F.get(b, i)))))
+        totals = F.transform(parts, lambda p: F.aggregate(p, zero, step))
+        return let(inner(totals, zero), lambda b: F.flatten(F.transform(parts, lambda p, i: inner(p, F.get(b, i)))))
 
     cut = lambda v: F.transform(F.sequence(F.lit(1), F.size(v), F.lit(_STEP)), lambda i: F.slice(v, i, _STEP))
-    return let(lengths, lambda v: F.when(F.size(v) == 0, F.array().cast("array<long>")).otherwise(let(cut(v), outer)))
+    return let(values, lambda v: F.when(F.size(v) == 0, F.array().cast("array<long>")).otherwise(let(cut(v), outer)))
+
+
+def running(lengths: Column) -> Column:
+    """Sums of all values before each."""
+    return _running(lengths, 0, lambda a, x: a + x)
+
+
+def covered(ends: Column) -> Column:
+    """The largest of all values before each, 0 for the first."""
+    return _running(ends, 0, lambda a, x: F.greatest(a, x))
+
+
+def pieces(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}+"), F.lit(0))
+
+
+def between(parts: Column, start: Column, end: Column) -> Column:
+    """The code points from ``start`` to ``end`` of a text in pieces; none where end is not behind start."""
+    first, last = F.floor(start / _PIECE).cast("int"), F.floor((end - 1) / _PIECE).cast("int")
+    held = F.array_join(F.slice(parts, first + 1, F.greatest(last - first + 1, F.lit(0))), "")
+    return F.when(end > start, F.substring(held, (start - first * _PIECE + 1).cast("int"), (end - start).cast("int"))).otherwise("")
 
 
 def matches(text: Column, pattern: str, kind: str, keep=None, group: int | None = None) -> Column:
@@ -63,13 +86,12 @@ def ordered(spans: Column, kinds: list[str], by_start: bool) -> Column:
     return F.transform(F.array_sort(keyed), lambda k: k["x"])
 
 
-def masked(text: Column, spans: Column) -> Column:
-    """``text`` with every span, sorted by start, put as [KIND]; what overlaps an earlier one goes with it."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+def masked(text: Column, spans: Column, put) -> Column:
+    """``text`` with every span, sorted by start, put as ``put(span, what it covers)``; what starts inside an earlier one goes with it."""
 
-    def step(a: Column, x: Column) -> Column:
-        fresh = F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), (x["start"] - a["at"]).cast("int")), F.lit("["), F.upper(x["kind"]), F.lit("]"))
-        return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.when(x["start"] >= a["at"], fresh).otherwise(a["out"]).alias("out"))
+    def told(x: Column) -> Column:
+        kept = F.transform(x["s"], lambda s, i: F.when(s["start"] >= F.get(x["c"], i), F.concat(between(x["p"], F.get(x["c"], i), s["start"]), put(s, between(x["p"], s["start"], s["end"])))).otherwise(""))
+        return F.concat(F.array_join(kept, ""), between(x["p"], F.array_max(F.transform(x["s"], lambda s: s["end"])), x["n"]))
 
-    done = let(F.aggregate(spans, start, step), lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.lit(2**31 - 1))))
-    return F.when(F.size(spans) == 0, text).otherwise(done)
+    parts = F.struct(spans.alias("s"), covered(F.transform(spans, lambda s: s["end"])).alias("c"), pieces(text).alias("p"), F.length(text).cast("long").alias("n"))
+    return F.when(F.size(spans) == 0, text).otherwise(let(parts, told))
