@@ -59,8 +59,8 @@ def postfix(line: str) -> list[str]:
     """A licence expression in postfix order; reading ends where the line stops being one. Empty if none starts it."""
     out: list[str] = []
     held: list[str] = []
-    operand = False
-    good: list[str] = []
+    operand, depth = False, 0
+    good: tuple[int, list[str]] = 0, []  # how much of ``out``, and the operators behind it, make a whole expression
     at = 0
     while True:
         while at < len(line) and line[at] in " \t":
@@ -74,9 +74,11 @@ def postfix(line: str) -> list[str]:
             if operand:
                 break
             held.append(token)
+            depth += 1
         elif token == ")":
-            if not operand or "(" not in held:
+            if not operand or not depth:
                 break
+            depth -= 1
             while held[-1] != "(":
                 out.append(held.pop())
             held.pop()
@@ -95,9 +97,9 @@ def postfix(line: str) -> list[str]:
             out.append(token)
         operand = token != "("
         at = m.end()
-        if operand and "(" not in held:
-            good = out + held[::-1]
-    return good
+        if operand and not depth:
+            good = len(out), held[::-1]  # outside brackets three operators at most are held
+    return out[: good[0]] + good[1]
 
 
 def family(identifier: str) -> str:
@@ -145,6 +147,7 @@ def scan(data: bytes) -> tuple:
     """n_words, n_base, first_word, last_word, base_labels, labels, score of one text in UTF-8."""
     words = words_of(data)
     base, labels, starts, tagged = set(), set(), [], False
+    at = word = 0  # a place in ``words``, and how many words stand before it
     for end, (phrase, label, of_base) in _automaton().iter(words.decode("latin-1")):
         if not label:
             tagged = True
@@ -152,7 +155,10 @@ def scan(data: bytes) -> tuple:
         labels.add(label)
         if of_base:
             base.add(label)
-            starts.append(words.count(b" ", 0, end - len(phrase) - 1))
+            start = end - len(phrase) - 1
+            word += words.count(b" ", at, start) if start >= at else -words.count(b" ", start, at)
+            at = start
+            starts.append(word)
     free = [FREEDOM[x] for x in labels]
     if tagged:
         for m in _TAG_LINE.finditer(data.decode("utf-8", "replace")):

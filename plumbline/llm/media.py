@@ -2,7 +2,9 @@
 
 Stored bytes are looked through by one Aho-Corasick automaton of magic bytes. A hit is only a candidate: a validator
 of that format walks its structure and confirms its length. The type confirmed at the start corrects the declared one;
-confirmed hits further in, outside of one another, are carved.
+confirmed hits further in, outside of one another, are carved. What a walk has learnt about a place is kept for the hits
+behind it, and compressed data is inflated a piece at a time and thrown away, so that a value's cost and memory stay in
+proportion to its length.
 """
 
 from __future__ import annotations
@@ -58,10 +60,27 @@ def framed(data: bytes) -> bytes:
     return data + bytes([FILL]) * ((-len(data)) % FRAME if data else FRAME)
 
 
-# Validators: the type and length of a medium that starts at ``at``, or None.
+# Validators: the type and length of a medium that starts at ``at``, or None. ``known`` is what earlier ones found in the value.
 
 
-def _riff(b, at):
+def _chain(known: dict, name: str, at: int, step) -> int | None:
+    """Where a chain of parts ends. ``step(pos)``: the next part's place, or (None, the end or None) where there is none."""
+    ends = known.setdefault(name, {})
+    passed, pos = [], at
+    while pos not in ends:
+        passed.append(pos)
+        following = step(pos)
+        if isinstance(following, tuple):
+            ends[pos] = following[1]
+            break
+        pos = following
+    end = ends[pos]
+    for p in passed:
+        ends[p] = end
+    return end
+
+
+def _riff(b, at, known):
     if at + 12 > len(b):
         return None
     size, form = struct.unpack_from("<I4s", b, at + 4)
@@ -77,7 +96,7 @@ def _riff(b, at):
     return (kind, end - at) if pos == end and seen and need <= seen else None
 
 
-def _png(b, at):
+def _png(b, at, known):
     pos = at + 8
     while pos + 12 <= len(b):
         n, name = struct.unpack_from(">I4s", b, pos)
@@ -89,7 +108,7 @@ def _png(b, at):
     return None
 
 
-def _jpeg(b, at):
+def _jpeg(b, at, known):
     pos, frame = at + 2, False
     while pos + 4 <= len(b):
         if b[pos] != 0xFF:
@@ -113,7 +132,7 @@ def _jpeg(b, at):
     return None
 
 
-def _gif(b, at):
+def _gif(b, at, known):
     if at + 13 > len(b):
         return None
     pos = at + 13 + (3 << (b[at + 10] & 7) + 1 if b[at + 10] & 0x80 else 0)
@@ -135,7 +154,7 @@ def _gif(b, at):
     return None
 
 
-def _bmp(b, at):
+def _bmp(b, at, known):
     if at + 30 > len(b):
         return None
     size, zero, start, header, width, height, planes, depth = struct.unpack_from("<IIIIiiHH", b, at + 2)
@@ -143,21 +162,18 @@ def _bmp(b, at):
     return ("image/bmp", size) if ok and 14 + header <= start <= size and at + size <= len(b) and start + (width * depth + 31) // 32 * 4 * abs(height) <= size else None
 
 
-def _ogg(b, at):
-    pos = at
-    while b[pos : pos + 4] == b"OggS" and pos + 27 <= len(b):
-        n = b[pos + 26]
-        size = 27 + n + sum(b[pos + 27 : pos + 27 + n])
-        if b[pos + 4] != 0 or pos + size > len(b):
-            return None
-        last = b[pos + 5] & 4
-        pos += size
-        if last:
-            return "audio/ogg", pos - at
-    return None
+def _ogg(b, at, known):
+    def step(pos):
+        if b[pos : pos + 4] != b"OggS" or pos + 27 > len(b) or b[pos + 4]:
+            return None, None
+        end = pos + 27 + b[pos + 26] + sum(b[pos + 27 : pos + 27 + b[pos + 26]])
+        return (None, None) if end > len(b) else (None, end) if b[pos + 5] & 4 else end
+
+    end = _chain(known, "ogg", at, step)
+    return ("audio/ogg", end - at) if end else None
 
 
-def _flac(b, at):
+def _flac(b, at, known):
     pos = at + 4
     while pos + 4 <= len(b):
         head, n = b[pos], int.from_bytes(b[pos + 1 : pos + 4], "big")
@@ -169,43 +185,104 @@ def _flac(b, at):
     return None
 
 
-def _mp4(b, at):
-    pos, kinds = at, []
-    while pos + 8 <= len(b):
+def _mp4(b, at, known):
+    boxes, told = known.setdefault("moov", {}), known.setdefault("told", set())  # where a box starts: whether a moov is at it or behind it
+
+    def step(pos):
+        if pos + 8 > len(b):
+            return None, pos
         n, kind = struct.unpack_from(">I4s", b, pos)
         if n < 8 or pos + n > len(b) or not kind.isalnum():
-            break
-        kinds.append(kind)
-        pos += n
-    return ("video/mp4", pos - at) if kinds[:1] == [b"ftyp"] and b"moov" in kinds else None
-
-
-def _pdf(b, at):
-    end = b.find(b"%%EOF", at)
-    return ("application/pdf", end + 5 - at) if end >= 0 and b.find(b"startxref", at, end) >= 0 else None
-
-
-def _zip(b, at):
-    pos = at
-    while b[pos : pos + 4] == b"PK\x03\x04" and pos + 30 <= len(b):
-        flags, size, name, extra = *struct.unpack_from("<H", b, pos + 6), *struct.unpack_from("<I", b, pos + 18), *struct.unpack_from("<HH", b, pos + 26)
-        if flags & 8:
-            return None
-        pos += 30 + name + extra + size
-    while b[pos : pos + 4] == b"PK\x01\x02" and pos + 46 <= len(b):
-        pos += 46 + sum(struct.unpack_from("<HHH", b, pos + 28))
-    if b[pos : pos + 4] != b"PK\x05\x06" or pos + 22 > len(b):
+            return None, pos
+        boxes[pos] = kind == b"moov"
+        return pos + n
+
+    first = at not in boxes
+    end = _chain(known, "mp4", at, step)
+    if first and end > at:
+        places, pos = [], at
+        while pos < end and pos not in told:
+            places.append(pos)
+            pos += struct.unpack_from(">I", b, pos)[0]
+        behind = pos < end and boxes[pos]
+        for p in reversed(places):
+            behind = boxes[p] = boxes[p] or behind
+        told.update(places)
+    return ("video/mp4", end - at) if end > at and b[at + 4 : at + 8] == b"ftyp" and boxes.get(at) else None
+
+
+def _pdf(b, at, known):
+    end = known.get("eof", at - 1)  # -1: none behind what was looked through
+    if end < at and "eof" not in known or 0 <= end < at:
+        end = known["eof"] = b.find(b"%%EOF", at)
+        known["xref"] = b.rfind(b"startxref", at, end) if end >= 0 else -1
+    return ("application/pdf", end + 5 - at) if end >= 0 and known["xref"] >= at else None
+
+
+def _zip(b, at, known):
+    def described(data):
+        """The end of an entry whose sizes stand behind its data."""
+        found = b.find(b"PK\x07\x08", data)
+        while 0 <= found <= len(b) - 16:
+            if struct.unpack_from("<I", b, found + 8)[0] == found - data:
+                return found + 16
+            found = b.find(b"PK\x07\x08", found + 4)
+        return None, None
+
+    def step(pos):
+        name = b[pos : pos + 4]
+        if name == b"PK\x03\x04" and pos + 30 <= len(b):
+            flags, size, names = struct.unpack_from("<H", b, pos + 6)[0], struct.unpack_from("<I", b, pos + 18)[0], sum(struct.unpack_from("<HH", b, pos + 26))
+            return described(pos + 30 + names) if flags & 8 and not size else pos + 30 + names + size
+        if name == b"PK\x01\x02" and pos + 46 <= len(b):
+            return pos + 46 + sum(struct.unpack_from("<HHH", b, pos + 28))
+        if name != b"PK\x05\x06" or pos + 22 > len(b):
+            return None, None
+        return None, pos + 22 + struct.unpack_from("<H", b, pos + 20)[0]
+
+    end = _chain(known, "zip", at, step)
+    return ("application/zip", end - at) if end and end <= len(b) else None
+
+
+PIECE = 1 << 16
+
+
+def _past_nul(b, at, known):
+    """Behind the first zero byte from ``at``; None where there is none."""
+    start, nul = known.get("nul", (at, at - 1))  # the first zero byte from ``start``; -1: none
+    if at < start and (sooner := b.find(b"\0", at, start)) >= 0:
+        return sooner + 1
+    if "nul" not in known or 0 <= nul < at:
+        nul = b.find(b"\0", at)
+        known["nul"] = at, nul
+    return nul + 1 if nul >= 0 else None
+
+
+def _gzip(b, at, known):
+    if at + 18 > len(b) or b[at + 3] & 0xE0:
         return None
-    return "application/zip", pos + 22 + struct.unpack_from("<H", b, pos + 20)[0] - at
-
-
-def _gzip(b, at):
-    machine = zlib.decompressobj(31)
+    flags, pos = b[at + 3], at + 10
+    if flags & 4:
+        pos += 2 + struct.unpack_from("<H", b, pos)[0]
+    for flag in (8, 16):
+        pos = _past_nul(b, pos, known) if pos and flags & flag else pos
+    if pos is None:
+        return None
+    pos += flags & 2
+    machine, view, step, crc, size = zlib.decompressobj(-15), memoryview(b), 256, 0, 0
     try:
-        machine.decompress(b[at:])
+        while not machine.eof:
+            fed = machine.unconsumed_tail or view[pos : pos + step]
+            if not machine.unconsumed_tail:
+                pos, step = min(pos + step, len(b)), min(step * 4, PIECE)
+            out = machine.decompress(fed, PIECE)
+            crc, size = zlib.crc32(out, crc), size + len(out)
+            if not out and not len(fed):
+                return None
     except zlib.error:
         return None
-    return ("application/gzip", len(b) - at - len(machine.unused_data)) if machine.eof else None
+    end = pos - len(machine.unused_data) + 8
+    return ("application/gzip", end - at) if end <= len(b) and struct.unpack_from("<II", b, end - 8) == (crc, size & 0xFFFFFFFF) else None
 
 
 VALIDATORS = {"riff": _riff, "image/png": _png, "image/jpeg": _jpeg, "image/gif": _gif, "image/bmp": _bmp, "audio/ogg": _ogg, "audio/flac": _flac, "video/mp4": _mp4, "application/pdf": _pdf, "application/zip": _zip, "application/gzip": _gzip}
@@ -227,15 +304,15 @@ def _automaton():
 
 def sniff(stored: bytes) -> tuple[str | None, list[tuple[str, int, int]]]:
     """The type confirmed at the start (None if none), and (type, offset, length) of media carved further in."""
-    declared, carved, until = None, [], 0
+    declared, whole, carved, until, known = None, 0, [], 0, {}
     for end, (back, guess) in _automaton().iter(stored.decode("latin-1")):
         at = end - back
         if at < 0 or at and at < until:
             continue
-        if found := VALIDATORS[guess](stored, at):
+        if found := VALIDATORS[guess](stored, at, known):
             if at == 0:
-                declared = found[0]
-            else:
+                declared, whole = found
+            elif found[0] != declared or at + found[1] != whole:  # a part of the medium itself is nothing carved
                 carved.append((found[0], at, found[1]))
                 until = at + found[1]
     return declared, carved
@@ -290,7 +367,8 @@ def media_features(media: DataFrame) -> DataFrame:
 def sniff_types(df: DataFrame, column: str, declared: str | None = None, out: str = "media") -> DataFrame:
     """``df`` with a struct ``out``: type (confirmed, else declared), corrected (whether that differs), carved media.
 
-    Null bytes have no type of their own and nothing to carve.
+    Null bytes have no type of their own and nothing to carve; empty ones neither; repeated rows give repeated results; an
+    empty table gives none; a column named ``out`` is replaced.
     """
     attach(df.sparkSession)
     kind = "type string, corrected boolean, carved array<struct<type:string,offset:long,length:long>>"

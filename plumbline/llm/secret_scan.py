@@ -1,8 +1,8 @@
 """Secret scans over a ledger of blobs.
 
 Every version of every document is addressed by its content. The ledger holds which (blob, rule version) pairs were
-scanned and what was found; only pairs it doesn't have are scanned, each blob once however many paths hold it, and
-the findings are joined back to all of them. Column expressions only.
+scanned and what was found; only pairs it doesn't have are scanned, each blob once however many rows hold it (copies
+meet before the shuffle), and the findings are joined back to all of them. Column expressions only.
 """
 
 from __future__ import annotations
@@ -57,17 +57,13 @@ def empty_ledger(spark: SparkSession) -> DataFrame:
 def scan_new(versions: DataFrame, ledger: DataFrame, rule_version: int = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
     """(versions with their blob, new ledger rows) of a table with doc_id and text; other columns go along.
 
-    One row of each unseen blob is scanned. A null text is the empty text. Rows that share an id but not a text are
-    versions of their own; repeated rows share a blob; an empty table adds nothing to the ledger.
+    One row of each unseen blob is scanned, also where rows repeat an id and a text or have no id. A null text is the
+    empty text. Rows that share an id but not a text are versions of their own; an empty table adds nothing to the ledger.
     """
     named = versions.drop("blob").withColumn("blob", F.unhex(F.sha2(text_or_empty(), 256)))
     seen = ledger.filter(F.col("rule_version") == rule_version).select("blob")
-    first = named.groupBy("blob").agg(F.min("doc_id").alias("one")).join(seen, "blob", "left_anti")
-    first = first.select(F.col("blob").alias("of_blob"), "one").hint("shuffle_hash")
-    rows = named.select("blob", "doc_id", text_or_empty().alias("text"))
-    chosen = rows.join(first, (F.col("of_blob") == F.col("blob")) & F.col("one").eqNullSafe(F.col("doc_id")), "left_semi")
-    scanned = chosen.select("blob", scan(F.col("text")).alias("spans")).dropDuplicates(["blob"])
-    rows = scanned.select("blob", F.lit(rule_version).alias("rule_version"), "spans")
+    blobs = named.select("blob", text_or_empty().alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
+    rows = blobs.join(seen, "blob", "left_anti").select("blob", F.lit(rule_version).alias("rule_version"), scan(F.col("text")).alias("spans"))
     return named, materialize(rows, "ledger")
 
 
