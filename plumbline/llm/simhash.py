@@ -318,11 +318,13 @@ def _edges(rows) -> pa.RecordBatch:
 def _links(reps: DataFrame, radius: int, bucket: int) -> DataFrame:
     """Edges (a, b), a > b, that join all fingerprints of one bucket at most ``radius`` bits apart.
 
-    reps: fp (binary), node (the smallest of those already joined), at: array of (tab, bucket).
+    reps: fp (binary), own (its number), node (the smallest of those already joined), at: array of (tab, bucket). Only
+    rows of buckets that hold several nodes fetch their fingerprint.
     """
-    rows = reps.select("fp", "node", F.explode("at").alias("at")).select("at.tab", "at.bucket", "fp", "node")
+    rows = reps.select("own", "node", F.explode("at").alias("at")).select("at.tab", "at.bucket", "own", "node")
     sizes = rows.groupBy("tab", "bucket").agg(F.count("*").alias("members"), F.min("node").alias("least"), F.max("node").alias("most"))
     rows = rows.join(sizes.filter("least < most").select("tab", "bucket", "members").hint("merge"), ["tab", "bucket"])
+    rows = rows.join(reps.select("own", "fp").hint("merge"), "own").drop("own")
     small = rows.filter(F.col("members") <= bucket).withColumn("part", F.lit(0).cast("long"))
     large = rows.filter(F.col("members") > bucket).withColumn("n", F.ceil(F.col("members") * 2 / F.lit(bucket)) + 1)
     dealt = small.unionByName(_in_parts(large, "fp"))
@@ -371,7 +373,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     rows = docs.select("doc_id", text_or_empty().alias("text"))
     found = materialize(rows.mapInArrow(partial(_fingerprints, shingle=shingle), "doc_id long, fp long"), "fingerprints")
     reps = materialize(found.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "distinct")
-    links = _links(reps.select(F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("fp"), "node", _places(radius).alias("at")), radius, bucket)
+    links = _links(reps.select(F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("fp"), F.col("node").alias("own"), "node", _places(radius).alias("at")), radius, bucket)
     named = _named(reps, "fp", components(links))
     return found.join(named.hint("merge"), "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -452,7 +454,7 @@ def _alike(reps: DataFrame, labels: DataFrame, docs: DataFrame, least: float, sh
     about ``group`` texts and GROUP_SHINGLES shingles. A group answers with a forest, not with pairs.
     """
     named = reps.join(labels.hint("merge"), "node", "left").select("node", "text_id", F.coalesce("component", "node").alias("component"))
-    several = named.groupBy("component").agg(F.count("*").alias("members")).filter("members > 1").select("component")
+    several = materialize(named.groupBy("component").agg(F.count("*").alias("members")).filter("members > 1").select("component"), "several")
     members = materialize(named.join(several.hint("merge"), "component"), "members")
     held = docs.select(F.col("doc_id").cast("long").alias("node"), text_or_empty().alias("text")).withColumn("text_id", F.xxhash64("text"))
     held = held.join(members.select("node", "text_id").hint("shuffle_hash"), ["node", "text_id"], "left_semi").dropDuplicates(["node"])
@@ -476,11 +478,11 @@ def candidates(reps: DataFrame, radius: int, bucket: int = BUCKET) -> DataFrame:
     """
     labels = None
     for at in range(0, KEYS, ROUND):
-        joined = reps
+        joined = reps.withColumn("own", F.col("node"))
         if labels is not None:
-            joined = reps.join(labels.hint("merge"), "node", "left").withColumn("node", F.coalesce("component", "node"))
+            joined = joined.join(labels.hint("merge"), "node", "left").withColumn("node", F.coalesce("component", "node"))
         places = F.transform(F.slice("keys", at + 1, ROUND), lambda k, i: F.struct((i + at).alias("tab"), k.alias("bucket")))
-        links = materialize(_links(joined.select("fp", "node", places.alias("at")), radius, bucket), "links")
+        links = materialize(_links(joined.select("fp", "own", "node", places.alias("at")), radius, bucket), "links")
         if labels is None:
             labels = components(links)
         elif not links.isEmpty():

@@ -242,7 +242,7 @@ def test_links_of_dense_fingerprints(spark, bucket):
             x ^= 1 << r.randrange(64)
         seen.setdefault(x, i)
     reps = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x, i) for x, i in seen.items()], "fp long, node long")
-    reps = reps.select(F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("fp"), "node", simhash._places(2).alias("at"))
+    reps = reps.select(F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("fp"), F.col("node").alias("own"), "node", simhash._places(2).alias("at"))
     labels = {q.node: q.component for q in simhash.components(simhash._links(reps, 2, bucket)).collect()}
     want = plain_components({i: x for x, i in seen.items()})
     assert all(labels.get(i, i) == c for i, c in want.items())
