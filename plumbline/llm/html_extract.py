@@ -1,9 +1,10 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page becomes a list of text blocks. A linear classifier scores each block by where it stands (landmark elements,
-class and id names), its links and its words; the scores become capacities to the two terminals, content and
-boilerplate. Blocks next to each other and blocks of one parent are joined by smoothness edges. The minimum cut between
-the terminals is the labelling with the least cost; blocks on the content side make the text.
+A page becomes a list of text blocks. A logistic classifier, fitted on the labelled pages of ``page_samples``, tells how
+likely each block is content by where it stands (landmark elements, class and id names), its links and its words; its
+log-odds become capacities to the two terminals, content and boilerplate. Blocks next to each other and blocks of one
+parent are joined by smoothness edges. The minimum cut between the terminals is the labelling with the least cost; blocks
+on the content side make the text.
 
 Before the flow is computed, a block whose terminal capacity is at least that of all its edges is fixed, which leaves
 the minimum as it is, and its edges go to its neighbours' terminals; the flow then runs on what is left.
@@ -15,31 +16,34 @@ import html
 import re
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache, partial
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.llm import page_samples
 from plumbline.llm._common import attach, slices, text_or_empty
 
 SLICE_BYTES = 4 << 20
 
-#: Classifier: weights of a block's features. Positive speaks for content.
-BIAS = 0.2
-IN_ARTICLE = 6.0
-IN_BOILERPLATE = -6.0
-OUTER_LANDMARK = 0.15  # share of a landmark that has another one inside
-PER_WORD, MOST_WORDS = 0.06, 40
-LINKED = -3.0  # times the share of linked characters
-SENTENCE = 0.6
-HEADING = 0.5
-FEW_WORDS = -0.8  # fewer than four words outside an article
+#: Labelled pages that the classifier is fitted on, and its ridge.
+TRAINING_PAGES = 400
+RIDGE = 1.0
+#: Log-odds beyond these tell no more.
+SUREST = 6.0
+FEATURES = ["always", "in content element", "in boilerplate element", "in content class", "in boilerplate class", "boilerplate inside content", "words", "linked", "sentence", "heading", "few words", "list item", "separators", "stock words"]
+MOST_WORDS, FEW_WORDS = 40, 4
+_SEPARATORS = "|»›·•©"
+_STOCK = re.compile(r"\b(cookies?|copyright|rights reserved|subscribe|newsletter|sign up|sign in|log in|privacy|advertisement|sponsored|share|read more|related|terms)\b", re.IGNORECASE)
 #: Smoothness.
 ADJACENT, SAME_PARENT, ACROSS = 1.0, 0.7, 0.2
 
-_SKIP = "script|style|noscript|template|svg|math|iframe|object|select|textarea|button|canvas|audio|video|title"
+_SKIP = "script|style|noscript|template|iframe|select|textarea|title"
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({_SKIP})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>.*?(?:</\1\s*>|\Z)|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.DOTALL | re.IGNORECASE)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.IGNORECASE)
-_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark meter output picture q ruby rp rt s samp small span strike strong sub sup time tt u var wbr source track param area link meta base col".split())
+#: Elements that start and end a block; all others, also unknown ones, stand in the line.
+_BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form head header hgroup hr html h1 h2 h3 h4 h5 h6 legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CLOSED_BY = {"p": "p", "li": "li", "dt": "dd dt", "dd": "dd dt", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 _SCOPE = frozenset("body div article section main nav aside footer header table ul ol dl form blockquote figure".split())
@@ -56,15 +60,15 @@ _BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary sear
 
 
 class Block:
-    __slots__ = ("text", "linked", "parent", "landmark", "score")
+    __slots__ = ("text", "parent", "landmark", "features")
 
-    def __init__(self, text: str, linked: int, parent: int, landmark: int, score: float):
-        self.text, self.linked, self.parent, self.landmark, self.score = text, linked, parent, landmark, score
+    def __init__(self, text: str, parent: int, landmark: int, features: list[float]):
+        self.text, self.parent, self.landmark, self.features = text, parent, landmark, features
 
 
 def _kind(tag: str, attributes: str) -> tuple[int, bool]:
-    """(1 content, -1 boilerplate, 0 neither; whether it isn't shown) of an element."""
-    kind = 1 if tag in _CONTENT_TAGS else -1 if tag in _BOILERPLATE_TAGS else -1 if tag == "header" else 0
+    """(2 content, -2 boilerplate by tag or role, 1 and -1 by name, 0 neither; whether it isn't shown) of an element."""
+    kind = 2 if tag in _CONTENT_TAGS else -2 if tag in _BOILERPLATE_TAGS or tag == "header" else 0
     hidden = False
     if attributes.strip():
         for name, value in _ATTRIBUTE.findall(attributes):
@@ -72,7 +76,7 @@ def _kind(tag: str, attributes: str) -> tuple[int, bool]:
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
                 hidden = True
             elif name == "role":
-                kind = -1 if value in _BOILERPLATE_ROLES else 1 if value in ("main", "article") else kind
+                kind = -2 if value in _BOILERPLATE_ROLES else 2 if value in ("main", "article") else kind
             elif name in ("class", "id", "itemprop") and kind == 0:
                 words = set(_NAMES.findall(value))
                 kind = -1 if words & _BOILERPLATE_NAMES else 1 if words & _CONTENT_NAMES else 0
@@ -80,7 +84,7 @@ def _kind(tag: str, attributes: str) -> tuple[int, bool]:
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Text blocks in page order, scored."""
+    """Text blocks in page order, with their features."""
     out: list[Block] = []
     # open elements: (tag, kind, own number, hidden)
     stack: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]
@@ -93,7 +97,7 @@ def blocks_of(page: str) -> list[Block]:
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text and not any(e[3] for e in stack):
-                out.append(_scored(text, min(linked, len(text)), stack))
+                out.append(_described(text, min(linked, len(text)), stack))
             pieces.clear()
         linked = links = 0
 
@@ -116,7 +120,7 @@ def blocks_of(page: str) -> list[Block]:
         if m[2]:
             if tag == "a":
                 links = max(0, links - 1)
-            elif tag not in _INLINE:
+            elif tag in _BLOCKS:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i][0] == tag:
                         close(i)
@@ -130,7 +134,7 @@ def blocks_of(page: str) -> list[Block]:
             links += 1
         elif tag == "br":
             pieces.append(" ")
-        elif tag not in _INLINE:
+        elif tag in _BLOCKS:
             flush()
             if tag in _VOID:
                 continue
@@ -146,21 +150,39 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def _scored(text: str, linked: int, stack) -> Block:
-    score, landmark, heading, article = BIAS, 0, False, False
+def _described(text: str, linked: int, stack) -> Block:
+    nearest, landmark, heading, item, outer = 0, 0, False, False, False
     for tag, kind, number, _ in reversed(stack):
         heading |= tag in _HEADINGS
-        if kind:
-            weight = IN_ARTICLE if kind > 0 else IN_BOILERPLATE
-            score += weight * (OUTER_LANDMARK if landmark else 1)
-            if not landmark:
-                landmark, article = number, kind > 0
+        item |= tag == "li"
+        if kind and not landmark:
+            nearest, landmark = kind, number
+        outer |= kind > 0
     words = text.count(" ") + 1
-    score += PER_WORD * min(words, MOST_WORDS) + LINKED * linked / len(text)
-    score += SENTENCE if text[-1] in ".!?…。！？\"”»" else 0
-    score += HEADING if heading else 0
-    score += FEW_WORDS if words < 4 and not article else 0
-    return Block(text, linked, stack[-1][2] if stack[-1][0] in _SCOPE else (stack[-2][2] if len(stack) > 1 else 0), landmark, score)
+    marks = sum(text.count(c) for c in _SEPARATORS)
+    features = [1, nearest == 2, nearest == -2, nearest == 1, nearest == -1, nearest < 0 and outer, min(words, MOST_WORDS) / MOST_WORDS, linked / len(text), text[-1] in ".!?…。！？\"”»", heading, words < FEW_WORDS, item, min(1.0, marks / words), bool(_STOCK.search(text)) and words < MOST_WORDS]
+    return Block(text, stack[-1][2] if stack[-1][0] in _SCOPE else (stack[-2][2] if len(stack) > 1 else 0), landmark, list(map(float, features)))
+
+
+def fit(pages: list[tuple[str, dict[str, bool]]], ridge: float = RIDGE) -> np.ndarray:
+    """Weights of FEATURES from pages and the labels of their blocks' texts (logistic regression, Newton steps)."""
+    rows = [(b.features, labels[b.text]) for page, labels in pages for b in blocks_of(page) if b.text in labels]
+    x, y = np.array([f for f, _ in rows]), np.array([float(l) for _, l in rows])
+    w = np.zeros(x.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (p - y) + ridge * w)
+    return w
+
+
+@lru_cache
+def fitted(pages: int = TRAINING_PAGES) -> tuple[float, ...]:
+    return tuple(fit(page_samples.samples(pages)).tolist())
+
+
+def scores_of(blocks: list[Block], weights: tuple[float, ...]) -> list[float]:
+    """Log-odds that each block is content."""
+    return [max(-SUREST, min(SUREST, sum(w * f for w, f in zip(weights, b.features, strict=True)))) for b in blocks]
 
 
 def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
@@ -271,27 +293,33 @@ def _flow(left: list[int], scores: list[float], near: list[dict[int, float]]) ->
                 break
 
 
-def main_text(page: str) -> str:
+def labelled(page: str, weights: tuple[float, ...] | None = None) -> list[tuple[str, float, bool]]:
+    """(text, log-odds, whether the cut calls it content) of a page's blocks."""
     blocks = blocks_of(page)
-    stays = minimum_cut([b.score for b in blocks], edges_of(blocks))
-    return "\n\n".join(b.text for b, s in zip(blocks, stays, strict=True) if s)
+    scores = scores_of(blocks, weights or fitted())
+    return [(b.text, x, stays) for b, x, stays in zip(blocks, scores, minimum_cut(scores, edges_of(blocks)), strict=True)]
+
+
+def main_text(page: str, weights: tuple[float, ...] | None = None) -> str:
+    return "\n\n".join(text for text, _, stays in labelled(page, weights) if stays)
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _extract(batches: Iterator[pa.RecordBatch], weights: tuple[float, ...]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "html", SLICE_BYTES):
-            texts = [main_text(x) for x in part.column("html").to_pylist()]
+            texts = [main_text(x, weights) for x in part.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
-def extract_text(pages: DataFrame) -> DataFrame:
+def extract_text(pages: DataFrame, training_pages: int = TRAINING_PAGES) -> DataFrame:
     """page_id, url, text, n_chars of every page.
 
-    A null html is empty, and its text too; null ids and urls stay null; broken markup is read as far as it goes;
-    repeated rows give repeated results; an empty table gives none; further columns are ignored.
+    The classifier is fitted on ``training_pages`` labelled sample pages. A null html is empty, and its text too; null ids
+    and urls stay null; broken markup is read as far as it goes; pages are read whole, however long; repeated rows give
+    repeated results; an empty table gives none; further columns are ignored.
     """
     attach(pages.sparkSession)
-    return pages.select("page_id", "url", text_or_empty("html").alias("html")).mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return pages.select("page_id", "url", text_or_empty("html").alias("html")).mapInArrow(partial(_extract, weights=fitted(training_pages)), "page_id long, url string, text string, n_chars long")
 
 
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
