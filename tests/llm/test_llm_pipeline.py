@@ -43,9 +43,30 @@ def test_decisions_take_effect(stages):
     assert all(r.n_chars == len(r.text) for r in masked.collect())
 
 
-def test_nulls_and_empty_tables(spark, sf_dir):
-    docs = spark.createDataFrame([(None, None, None, None, None), (1, None, "en", "s", 0), (2, "", "en", "s", 0), (3, "Some words that make a line of more than ten words, to be kept. ", None, "s", None)], "doc_id long, text string, lang string, source string, n_chars long")
-    for name, stage in P.STAGES[:-1]:
-        assert stage(spark, docs, sf_dir).columns == P.COLUMNS and stage(spark, docs.limit(0), sf_dir).count() == 0, name
-        rows = stage(spark, docs, sf_dir).collect()
-        assert 3 in {r.doc_id for r in rows}, name
+LINE = "Some words that make a line of more than ten words, to be kept whole. "
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    """Nulls in every column, an empty and a very long text, ties, repeated rows, columns named like results."""
+    long = "\n".join(" ".join(f"w{i}x{j}" for j in range(12)) + "." for i in range(4000))
+    rows = [(None, None, None, None, None), (1, None, "en", "s", 0), (2, "", "en", "s", 0), (3, LINE, None, "s", None), (3, LINE, None, "s", None), (4, long, "en", "s", 1), (5, LINE + "mail a.b@x.org now.", "en", "s", 1), (6, LINE, "de", "s", 1), (None, LINE, "en", "s", 2), (2**40, long + " end.", "en", None, 3)]
+    names = ["row", "base", "terms", "kept", "fp", "node", "grp", "key", "component_id", "n_words", "n_removed", "token_ids", "sequence_id", "unfilled", "is_doc"]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").select("*", *[F.lit(n).alias(n) for n in names]).repartition(3)
+
+
+@pytest.mark.parametrize(("name", "ids"), [("quality_rules", [None, 3, 3, 4, 5, 6, 2**40]), ("near_duplicates", [1, 3, 3, 4, 5]), ("repeated_passages", [None, None, 1, 2, 3, 3, 4, 5, 6, 2**40]), ("personal_data", [None, None, 1, 2, 3, 3, 4, 5, 6, 2**40]), ("packing", [None, None, 1, 2, 3, 3, 4, 5, 6, 2**40])])
+def test_awkward_tables(spark, sf_dir, awkward, name, ids):
+    stage = dict(P.STAGES)[name]
+    found = stage(spark, awkward, sf_dir)
+    got = [r.doc_id for r in (found.filter("start = 0") if name == "packing" else found).collect()]
+    assert sorted(got, key=lambda i: -1 if i is None else i) == ids
+    assert stage(spark, awkward.limit(0), sf_dir).count() == 0
+    if name != "packing":
+        assert found.columns == P.COLUMNS
+        texts = {r.doc_id: r.text for r in found.collect()}
+        assert texts[4].startswith("w0x0 w0x1") and texts[3] == LINE
+    if name == "personal_data":
+        assert texts[5].endswith("mail [EMAIL] now.")
+    if name == "repeated_passages":
+        assert texts[6].strip() == "" and texts[1] is None
