@@ -1,7 +1,9 @@
 """The corpus pipeline: quality rules, near-duplicates, repeated passages, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor left. All but the last return the
-columns of ``documents``; where a stage changes a text, n_chars follows it.
+columns of ``documents``; where a stage changes a text, n_chars follows it. All stages: columns beyond those are dropped,
+whatever their names; repeated rows are judged alike; null values in lang, source and n_chars stay; texts are read whole,
+however long; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -27,7 +29,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group the document with the smallest id stays; rows of that id stay together."""
+    """Of each near-duplicate group the document with the smallest id stays; rows that repeat that id stay together.
+
+    A null text has no words, and all texts without words are one group. A row without an id goes if its text has a copy
+    with one, and stays otherwise.
+    """
     docs = docs.select(*COLUMNS)
     groups = simhash.similar_texts(docs)
     first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
@@ -35,18 +41,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 13 words and more that an earlier document has are cut; a document may be left without text."""
+    """Passages of 13 words and more that an earlier document has are cut; a document may be left without text.
+
+    A null text stays null; a row without an id stays whole; rows of one id are no earlier than each other.
+    """
     return _shaped(substring_dedup.dedup_substrings(docs.select(*COLUMNS)))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and terms that reveal it are put as their kind."""
+    """Personal data is put as its kind, terms that reveal it are left out or put as a general term. A null text stays null."""
     found = pii.find_personal(docs.select(*COLUMNS), *COLUMNS)
     return _shaped(found.withColumn("text", pii.sanitise(F.col("text"))))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of all documents."""
+    """Token sequences of all documents. A null text is empty: one id, the end. A null doc_id stays null."""
     return pack(docs)
 
 
