@@ -50,15 +50,16 @@ def text_bearing(deltas: DataFrame) -> DataFrame:
     return deltas.filter(~X.blank(F.col("old_text")) | ~X.blank(F.col("new_text")))
 
 
-def sentence() -> Column:
+def sentence(pid_a: Column | None = None, pid_b: Column | None = None) -> Column:
+    """A change in words; it names both documents (default: columns pid_a and pid_b)."""
+    a, b = pid_a if pid_a is not None else F.col("pid_a"), pid_b if pid_b is not None else F.col("pid_b")
     old, new = F.coalesce("old_text", F.lit("")), F.coalesce("new_text", F.lit(""))
-    kind = F.concat(F.lit(" ("), F.col("element_type"), F.lit(")"))
-    quoted = lambda x: F.concat(F.lit("'"), x, F.lit("'"))
-    return (
-        F.when(F.col("change_type") == "modified", F.concat(F.lit("CHANGED"), kind, F.lit(" from A to B: "), quoted(old), F.lit(" -> "), quoted(new)))
-        .when(F.col("change_type") == "added", F.concat(F.lit("ADDED in B, not present in A"), kind, F.lit(": "), quoted(new)))
-        .otherwise(F.concat(F.lit("REMOVED from A, not present in B"), kind, F.lit(": "), quoted(old)))
-    )
+    said = {
+        "modified": ("CHANGED (%s) from %s to %s: '%s' -> '%s'", F.col("element_type"), a, b, old, new),
+        "added": ("ADDED in %s, not present in %s (%s): '%s'", b, a, F.col("element_type"), new),
+        "removed": ("REMOVED from %s, not present in %s (%s): '%s'", a, b, F.col("element_type"), old),
+    }
+    return F.coalesce(*[F.when(F.col("change_type") == kind, F.format_string(*words)) for kind, words in said.items()])
 
 
 def label() -> Column:

@@ -22,10 +22,12 @@ def element_chunks(elements: DataFrame, collection: str | Column) -> DataFrame:
     )
 
 
-def delta_chunks(deltas: DataFrame, collection: str) -> DataFrame:
-    return R.text_bearing(deltas).select(
-        F.lit(collection).alias("collection"), R.chunk_id().alias("id"), R.sentence().alias("text"), F.col("pair_id").alias("pid"), F.lit(None).cast("string").alias("revision_label"),
-        F.lit("delta").alias("type"), F.coalesce(R.page(), F.lit(0)).alias("page"), F.lit("").alias("note_number"),
+def delta_chunks(deltas: DataFrame, collection: str, pairs: DataFrame) -> DataFrame:
+    """Changes with a text as chunks. pairs: pair_id, pid_a, pid_b; a chunk's pid names both documents."""
+    named = R.text_bearing(deltas).join(pairs.select("pair_id", "pid_a", "pid_b"), "pair_id")
+    return named.select(
+        F.lit(collection).alias("collection"), R.chunk_id().alias("id"), R.sentence().alias("text"), F.concat("pid_a", F.lit("→"), "pid_b").alias("pid"), F.lit(None).cast("string").alias("revision_label"),
+        F.col("element_type").alias("type"), F.coalesce(R.page(), F.lit(0)).alias("page"), F.lit("").alias("note_number"),
     )
 
 
@@ -86,9 +88,9 @@ def reranked_all(found: DataFrame, k: int = DEFAULT.answered_from) -> DataFrame:
 
 
 def context(rows: DataFrame) -> DataFrame:
-    """query_id, context: one line per chunk, in the order of ``place``."""
-    revision = F.coalesce(F.nullif("revision_label", F.lit("")), F.lit("-"))
-    line = F.concat(F.lit("["), F.col("id"), F.lit("] (page "), F.col("page").cast("string"), F.lit(", "), revision, F.lit("): "), F.col("text"))
+    """query_id, context: one line per chunk, in the order of ``place``; a revision is named where there is a label."""
+    revision = F.coalesce(F.concat(F.lit(", "), F.nullif("revision_label", F.lit(""))), F.lit(""))
+    line = F.concat(F.lit("["), F.col("id"), F.lit("] (page "), F.col("page").cast("string"), revision, F.lit("): "), F.col("text"))
     return rows.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))), lambda x: x["line"]), "\n").alias("context"))
 
 

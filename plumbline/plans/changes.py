@@ -88,6 +88,20 @@ def part_delta(spark, sf_dir):
     return delta.compute_delta(*part_elements(spark, sf_dir))
 
 
+def part_pairs(feed: DataFrame) -> DataFrame:
+    """pair_id, pid_a, pid_b of the drawings."""
+    name = lambda side: F.concat(F.lit("parts"), "pair_id", F.lit(f"_{side}"))
+    return feed.select("pair_id").distinct().select("pair_id", name("A").alias("pid_a"), name("B").alias("pid_b"))
+
+
+NAMED = """, ids AS (SELECT *, 'parts' || CAST(CAST(substr(coalesce(old_element_id, new_element_id), 3) AS BIGINT) % 10000000 // 1000 AS VARCHAR) AS pair FROM feed),
+pids AS (SELECT *, pair || '_A' AS pid_a, pair || '_B' AS pid_b FROM ids),
+named AS (SELECT *, CASE change_type WHEN 'modified' THEN 'CHANGED (' || element_type || ') from ' || pid_a || ' to ' || pid_b || ': ''' || old_text || ''' -> ''' || new_text || ''''
+  WHEN 'added' THEN 'ADDED in ' || pid_b || ', not present in ' || pid_a || ' (' || element_type || '): ''' || new_text || ''''
+  ELSE 'REMOVED from ' || pid_a || ', not present in ' || pid_b || ' (' || element_type || '): ''' || old_text || '''' END AS sentence FROM pids)
+"""
+
+
 @query(ELEMENTS + "SELECT change_type, element_type, old_element_id, new_element_id, old_text, new_text, match_tier, confidence FROM feed")
 def delta_engine(spark, sf_dir):
     return part_delta(spark, sf_dir)[0].select("change_type", "element_type", "old_element_id", "new_element_id", "old_text", "new_text", "match_tier", "confidence")
@@ -121,28 +135,30 @@ def delta_counts_by_element_type(spark, sf_dir):
 
 @query(
     ELEMENTS
-    + """SELECT CASE change_type WHEN 'modified' THEN 'CHANGED (' || element_type || ') from A to B: ''' || old_text || ''' -> ''' || new_text || ''''
- WHEN 'added' THEN 'ADDED in B, not present in A (' || element_type || '): ''' || new_text || '''' ELSE 'REMOVED from A, not present in B (' || element_type || '): ''' || old_text || '''' END AS sentence,
- 'delta:' || change_type || ':' || coalesce(old_element_id, '_') || ':' || coalesce(new_element_id, '_') AS id,
+    + NAMED
+    + """SELECT sentence, 'delta:' || change_type || ':' || coalesce(old_element_id, '_') || ':' || coalesce(new_element_id, '_') AS id,
  CASE change_type WHEN 'modified' THEN 'modified ' || element_type || ': ' || old_text || ' -> ' || new_text WHEN 'added' THEN 'added ' || element_type || ': ' || new_text ELSE 'removed ' || element_type || ': ' || old_text END AS label
-FROM feed"""
+FROM named"""
 )
 def delta_sentences(spark, sf_dir):
-    return R.text_bearing(part_delta(spark, sf_dir)[0]).select(R.sentence().alias("sentence"), R.chunk_id().alias("id"), R.label().alias("label"))
+    feed = part_delta(spark, sf_dir)[0]
+    return R.text_bearing(feed).join(part_pairs(feed), "pair_id").select(R.sentence().alias("sentence"), R.chunk_id().alias("id"), R.label().alias("label"))
+
+
+_LABEL = "CASE change_type WHEN 'modified' THEN 'modified ' || element_type || ': ' || old_text || ' -> ' || new_text WHEN 'added' THEN 'added ' || element_type || ': ' || new_text ELSE 'removed ' || element_type || ': ' || old_text END AS label"
 
 
-@query(ELEMENTS + "SELECT 'a' AS side, change_type, page FROM feed WHERE change_type IN ('removed', 'modified') UNION ALL SELECT 'b', change_type, page FROM feed WHERE change_type IN ('added', 'modified')")
+@query(ELEMENTS + f"SELECT 'a' AS side, change_type, page, {_LABEL} FROM feed WHERE change_type IN ('removed', 'modified') UNION ALL SELECT 'b', change_type, page, {_LABEL} FROM feed WHERE change_type IN ('added', 'modified')")
 def boxes_for_side(spark, sf_dir):
     feed = part_delta(spark, sf_dir)[0]
-    both = [R.boxes(feed, s).select(F.lit(s).alias("side"), "change_type", F.col("bbox.page").cast("long").alias("page")) for s in ("a", "b")]
+    both = [R.boxes(feed, s).select(F.lit(s).alias("side"), "change_type", F.col("bbox.page").cast("long").alias("page"), "label") for s in ("a", "b")]
     return both[0].unionByName(both[1])
 
 
-@query(ELEMENTS + "SELECT id, text, type, CAST(page AS BIGINT) AS page FROM (SELECT 'delta:' || change_type || ':' || coalesce(old_element_id, '_') || ':' || coalesce(new_element_id, '_') AS id, coalesce(new_text, old_text) AS text, 'delta' AS type, page FROM feed)")
+@query(ELEMENTS + NAMED + "SELECT 'delta:' || change_type || ':' || coalesce(old_element_id, '_') || ':' || coalesce(new_element_id, '_') AS id, sentence AS text, pid_a || '→' || pid_b AS pid, element_type AS type, CAST(page AS BIGINT) AS page FROM named")
 def delta_chunk_rows(spark, sf_dir):
     feed = part_delta(spark, sf_dir)[0]
-    chunks = retrieval.delta_chunks(feed, "deltas").select("id", "type", F.col("page").cast("long").alias("page"))
-    return chunks.join(feed.select(R.chunk_id().alias("id"), R.shown_text().alias("text")), "id").select("id", "text", "type", "page")
+    return retrieval.delta_chunks(feed, "deltas", part_pairs(feed)).select("id", "text", "pid", "type", F.col("page").cast("long").alias("page"))
 
 
 @query("""WITH n AS (SELECT 'customer' AS s, c_name AS t FROM customer), m AS (SELECT 'supplier' AS s, s_name AS t FROM supplier),

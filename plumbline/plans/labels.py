@@ -13,17 +13,17 @@ from plumbline.sources import tables
 
 LABELS = """
 labels_ AS (
-  SELECT p_partkey AS k, lpad(CAST(p_size AS VARCHAR), 2, '0') || 'BL' || lpad(CAST(p_partkey AS VARCHAR), 5, '0') AS t FROM part WHERE p_partkey < 100000
-  UNION ALL SELECT 1000000 + p_partkey, CAST(p_size AS VARCHAR) || '"-VF-43-' || lpad(CAST(p_partkey % 1000000 AS VARCHAR), 6, '0') || '-AC21S-00' FROM part
-  UNION ALL SELECT 2000000 + p_partkey, 'SP = ' || CAST(p_size AS VARCHAR) || ' bar (g)' FROM part
-  UNION ALL SELECT 3000000 + p_partkey, CAST(p_size AS VARCHAR) || ' x ' || CAST(p_size + 1 AS VARCHAR) FROM part
-  UNION ALL SELECT 4000000 + p_partkey, p_name FROM part
-  UNION ALL SELECT 5000000 + s_suppkey, '26-KA-' || lpad(CAST(s_suppkey % 10000 AS VARCHAR), 4, '0') FROM supplier
-  UNION ALL SELECT 6000000 + s_suppkey, 'HH: ' || CAST(s_suppkey AS VARCHAR) FROM supplier
-  UNION ALL SELECT 7000000 + s_suppkey, 'NOTE ' || CAST(s_suppkey AS VARCHAR) || ', 7' FROM supplier
-  UNION ALL SELECT 8000000 + s_suppkey, CAST(s_suppkey % 1000 AS VARCHAR) || '. ' || s_name FROM supplier
-  UNION ALL SELECT 9000000 + s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'LO' ELSE 'X' END FROM supplier
-  UNION ALL SELECT 10000000 + o_orderkey, 'PIT-' || lpad(CAST(o_custkey % 1000000 AS VARCHAR), 5, '0') FROM orders)
+  SELECT 'valve' AS source, p_partkey AS k, lpad(CAST(p_size AS VARCHAR), 2, '0') || 'BL' || lpad(CAST(p_partkey % 100000 AS VARCHAR), 5, '0') AS t FROM part
+  UNION ALL SELECT 'line', p_partkey, CAST(p_size AS VARCHAR) || '"-VF-43-' || lpad(CAST(p_partkey % 1000000 AS VARCHAR), 6, '0') || '-AC21S-00' FROM part
+  UNION ALL SELECT 'setpoint', p_partkey, 'SP = ' || CAST(p_size AS VARCHAR) || ' bar (g)' FROM part
+  UNION ALL SELECT 'size', p_partkey, CAST(p_size AS VARCHAR) || ' x ' || CAST(p_size + 1 AS VARCHAR) FROM part
+  UNION ALL SELECT 'name', p_partkey, p_name FROM part
+  UNION ALL SELECT 'tag', s_suppkey, '26-KA-' || lpad(CAST(s_suppkey % 10000 AS VARCHAR), 4, '0') FROM supplier
+  UNION ALL SELECT 'limit', s_suppkey, 'HH: ' || CAST(s_suppkey AS VARCHAR) FROM supplier
+  UNION ALL SELECT 'reference', s_suppkey, 'NOTE ' || CAST(s_suppkey AS VARCHAR) || ', 7' FROM supplier
+  UNION ALL SELECT 'note', s_suppkey, CAST(s_suppkey % 1000 AS VARCHAR) || '. ' || s_name FROM supplier
+  UNION ALL SELECT 'flag', s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'LO' ELSE 'X' END FROM supplier
+  UNION ALL SELECT 'instrument', o_orderkey, 'PIT-' || lpad(CAST(o_custkey % 1000000 AS VARCHAR), 5, '0') FROM orders)
 """
 _INSTRUMENTS = ", ".join(f"'{x}'" for x in X.INSTRUMENTS)
 
@@ -34,17 +34,17 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, size, supplier = F.col("p_partkey"), as_text("p_size"), F.col("s_suppkey")
     padded = lambda c, n: F.lpad(c.cast("string"), n, "0")
     rows = [
-        p.filter(key < 100000).select(key.alias("k"), F.concat(F.lpad(size, 2, "0"), F.lit("BL"), padded(key, 5)).alias("t")),
-        p.select(key + 1000000, F.concat(size, F.lit('"-VF-43-'), padded(key % 1000000, 6), F.lit("-AC21S-00"))),
-        p.select(key + 2000000, F.concat(F.lit("SP = "), size, F.lit(" bar (g)"))),
-        p.select(key + 3000000, F.concat(size, F.lit(" x "), (F.col("p_size") + 1).cast("string"))),
-        p.select(key + 4000000, "p_name"),
-        s.select(supplier + 5000000, F.concat(F.lit("26-KA-"), padded(supplier % 10000, 4))),
-        s.select(supplier + 6000000, F.concat(F.lit("HH: "), supplier.cast("string"))),
-        s.select(supplier + 7000000, F.concat(F.lit("NOTE "), supplier.cast("string"), F.lit(", 7"))),
-        s.select(supplier + 8000000, F.concat((supplier % 1000).cast("string"), F.lit(". "), F.col("s_name"))),
-        s.select(supplier + 9000000, F.when(supplier % 2 == 0, "LO").otherwise("X")),
-        o.select(F.col("o_orderkey") + 10000000, F.concat(F.lit("PIT-"), padded(F.col("o_custkey") % 1000000, 5))),
+        p.select(F.lit("valve").alias("source"), key.alias("k"), F.concat(F.lpad(size, 2, "0"), F.lit("BL"), padded(key % 100000, 5)).alias("t")),
+        p.select(F.lit("line"), key, F.concat(size, F.lit('"-VF-43-'), padded(key % 1000000, 6), F.lit("-AC21S-00"))),
+        p.select(F.lit("setpoint"), key, F.concat(F.lit("SP = "), size, F.lit(" bar (g)"))),
+        p.select(F.lit("size"), key, F.concat(size, F.lit(" x "), (F.col("p_size") + 1).cast("string"))),
+        p.select(F.lit("name"), key, "p_name"),
+        s.select(F.lit("tag"), supplier, F.concat(F.lit("26-KA-"), padded(supplier % 10000, 4))),
+        s.select(F.lit("limit"), supplier, F.concat(F.lit("HH: "), supplier.cast("string"))),
+        s.select(F.lit("reference"), supplier, F.concat(F.lit("NOTE "), supplier.cast("string"), F.lit(", 7"))),
+        s.select(F.lit("note"), supplier, F.concat((supplier % 1000).cast("string"), F.lit(". "), F.col("s_name"))),
+        s.select(F.lit("flag"), supplier, F.when(supplier % 2 == 0, "LO").otherwise("X")),
+        o.select(F.lit("instrument"), F.col("o_orderkey"), F.concat(F.lit("PIT-"), padded(F.col("o_custkey") % 1000000, 5))),
     ]
     out = rows[0]
     for r in rows[1:]:
@@ -59,17 +59,17 @@ def _sql(pattern: str) -> str:
 @query(
     "WITH "
     + LABELS
-    + f""", c AS (SELECT k, t, CASE WHEN regexp_matches(t, {_sql(X.NOTE_LINE)}) THEN 'note' WHEN regexp_matches(t, {_sql(X.NOTE_REFERENCE)}) THEN 'note' WHEN regexp_matches(t, {_sql(X.LINE_NUMBER)}) THEN 'line_number'
+    + f""", c AS (SELECT source, k, t, CASE WHEN regexp_matches(t, {_sql(X.NOTE_LINE)}) THEN 'note' WHEN regexp_matches(t, {_sql(X.NOTE_REFERENCE)}) THEN 'note' WHEN regexp_matches(t, {_sql(X.LINE_NUMBER)}) THEN 'line_number'
   WHEN regexp_matches(t, {_sql(X.INSTRUMENT)}) AND regexp_extract(t, {_sql(X.INSTRUMENT)}, 1) IN ({_INSTRUMENTS}) THEN 'instrument_loop' WHEN regexp_matches(t, {_sql(X.VALVE)}) THEN 'valve' WHEN regexp_matches(t, {_sql(X.TAG)}) THEN 'tag'
   WHEN regexp_matches(t, {_sql(X.SETPOINT)}) THEN 'setpoint' WHEN regexp_matches(t, {_sql(X.LIMIT)}) THEN 'setpoint' WHEN regexp_matches(t, {_sql(X.SIZE_CHANGE)}) THEN 'dimension' ELSE 'text_block' END AS type FROM labels_)
-SELECT k, t AS text, type,
+SELECT source, k, t AS text, type,
   CASE WHEN type = 'note' AND regexp_matches(t, {_sql(X.NOTE_LINE)}) THEN 'definition' WHEN type = 'note' THEN 'reference' WHEN type = 'dimension' THEN 'size_transition' WHEN t IN ('LO') THEN 'valve_status_flag' WHEN regexp_matches(t, '^[A-Z]$') THEN 'flag' ELSE '' END AS kind,
   CASE WHEN type = 'setpoint' AND regexp_matches(t, {_sql(X.SETPOINT)}) THEN regexp_extract(t, {_sql(X.SETPOINT)}, 2) WHEN type = 'setpoint' THEN regexp_extract(t, {_sql(X.LIMIT)}, 2) WHEN type = 'instrument_loop' THEN regexp_extract(t, {_sql(X.INSTRUMENT)}, 2) WHEN type = 'note' AND regexp_matches(t, {_sql(X.NOTE_LINE)}) THEN regexp_extract(t, {_sql(X.NOTE_LINE)}, 1) ELSE '' END AS value FROM c"""
 )
 def element_classify(spark, sf_dir):
     made = labels(spark, sf_dir).withColumn("m", X.one_line(F.col("t")))
     at = lambda n: F.col("m.attributes")[n]
-    return made.select("k", F.col("m.text").alias("text"), F.col("m.type").alias("type"), F.coalesce(at("kind"), F.lit("")).alias("kind"), F.coalesce(at("value"), at("loop_number"), at("note_number"), F.lit("")).alias("value"))
+    return made.select("source", "k", F.col("m.text").alias("text"), F.col("m.type").alias("type"), F.coalesce(at("kind"), F.lit("")).alias("kind"), F.coalesce(at("value"), at("loop_number"), at("note_number"), F.lit("")).alias("value"))
 
 
 _T = {n: _sql(X._tolerant(p)) for n, p in (("line", X.LINE_NUMBER), ("loop", X.INSTRUMENT), ("valve", X.VALVE), ("tag", X.TAG))}
@@ -78,21 +78,26 @@ _T = {n: _sql(X._tolerant(p)) for n, p in (("line", X.LINE_NUMBER), ("loop", X.I
 @query(
     "WITH "
     + LABELS
-    + f""", c AS (SELECT k, CASE WHEN k < 1000000 THEN substr(t, 1, 2) || translate(substr(t, 3, 2), 'BLKAPITVF', '81XA91TVF') || substr(t, 5) WHEN k >= 10000000 THEN translate(substr(t, 1, 3), 'I', '1') || substr(t, 4)
-  WHEN k >= 1000000 AND k < 2000000 THEN replace(t, 'VF', '5B') ELSE t END AS t FROM labels_ WHERE k < 2000000 OR k >= 10000000)
-SELECT k, t AS text, CASE WHEN regexp_matches(t, {_sql(X.LINE_NUMBER)}) OR regexp_matches(t, {_T['line']}) THEN 'line_number' WHEN regexp_matches(t, {_T['loop']}) AND translate(regexp_extract(t, {_T['loop']}, 1), '{X.MISREAD}', '{X.MEANT}') IN ({_INSTRUMENTS}) THEN 'instrument_loop'
+    + f""", c AS (SELECT source, k, CASE source WHEN 'valve' THEN substr(t, 1, 2) || translate(substr(t, 3, 2), 'BLKAPITVF', '81XA91TVF') || substr(t, 5) WHEN 'instrument' THEN translate(substr(t, 1, 3), 'I', '1') || substr(t, 4)
+  WHEN 'line' THEN replace(t, 'VF', '5B') WHEN 'tag' THEN replace(t, 'KA', 'K8') ELSE t END AS t FROM labels_)
+SELECT source, k, t AS text, CASE WHEN regexp_matches(t, {_sql(X.NOTE_LINE)}) OR regexp_matches(t, {_sql(X.NOTE_REFERENCE)}) THEN 'note' WHEN regexp_matches(t, {_sql(X.LINE_NUMBER)}) THEN 'line_number'
+  WHEN regexp_matches(t, {_sql(X.INSTRUMENT)}) AND regexp_extract(t, {_sql(X.INSTRUMENT)}, 1) IN ({_INSTRUMENTS}) THEN 'instrument_loop' WHEN regexp_matches(t, {_sql(X.VALVE)}) THEN 'valve' WHEN regexp_matches(t, {_sql(X.TAG)}) THEN 'tag'
+  WHEN regexp_matches(t, {_sql(X.SETPOINT)}) OR regexp_matches(t, {_sql(X.LIMIT)}) THEN 'setpoint' WHEN regexp_matches(t, {_sql(X.SIZE_CHANGE)}) THEN 'dimension' WHEN t = 'LO' OR regexp_matches(t, '^[A-Z]$') THEN 'text_block'
+  WHEN regexp_matches(t, {_T['line']}) THEN 'line_number' WHEN regexp_matches(t, {_T['loop']}) AND translate(regexp_extract(t, {_T['loop']}, 1), '{X.MISREAD}', '{X.MEANT}') IN ({_INSTRUMENTS}) THEN 'instrument_loop'
   WHEN regexp_matches(t, {_T['valve']}) THEN 'valve' WHEN regexp_matches(t, {_T['tag']}) THEN 'tag' ELSE 'text_block' END AS type FROM c"""
 )
 def ocr_retry(spark, sf_dir):
     """Labels with letters misread as digits get their type back; the text stays as it was read."""
-    k, t = F.col("k"), F.col("t")
+    t, source = F.col("t"), F.col("source")
     spoilt = (
-        F.when(k < 1000000, F.concat(F.substring(t, 1, 2), F.translate(F.substring(t, 3, 2), "BLKAPITVF", "81XA91TVF"), F.substring(t, 5, 1000)))
-        .when(k >= 10000000, F.concat(F.translate(F.substring(t, 1, 3), "I", "1"), F.substring(t, 4, 1000)))
-        .otherwise(F.replace(t, F.lit("VF"), F.lit("5B")))
+        F.when(source == "valve", F.concat(F.substring(t, 1, 2), F.translate(F.substring(t, 3, 2), "BLKAPITVF", "81XA91TVF"), F.substring(t, 5, 1000)))
+        .when(source == "instrument", F.concat(F.translate(F.substring(t, 1, 3), "I", "1"), F.substring(t, 4, 1000)))
+        .when(source == "line", F.replace(t, F.lit("VF"), F.lit("5B")))
+        .when(source == "tag", F.replace(t, F.lit("KA"), F.lit("K8")))
+        .otherwise(t)
     )
-    rows = labels(spark, sf_dir).filter((k < 2000000) | (k >= 10000000)).withColumn("t", spoilt).withColumn("m", X.one_line(F.col("t"), ocr_tolerant=True))
-    return rows.select("k", F.col("m.text").alias("text"), F.col("m.type").alias("type"))
+    rows = labels(spark, sf_dir).withColumn("t", spoilt).withColumn("m", X.one_line(F.col("t"), ocr_tolerant=True))
+    return rows.select("source", "k", F.col("m.text").alias("text"), F.col("m.type").alias("type"))
 
 
 LINES_OF = "l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, unnest(string_split(text, chr(10))) AS text FROM documents)"
