@@ -51,12 +51,38 @@ def exact_lookup(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     return found.select("query_id", "id").distinct().withColumn("score", F.lit(1.0)).withColumn("source", F.lit("exact"))
 
 
-def vector_topk(questions: DataFrame, chunks: DataFrame, k: int = DEFAULT.retrieved, blocks: int = 32) -> DataFrame:
+#: Chunks of one block of a collection.
+BLOCK_ROWS = 20_000
+#: Bytes up to which passages are sent to every executor.
+SENT_BYTES = 32 << 20
+ANCHOR = 16
+
+
+def holding(docs: DataFrame, passages: DataFrame, sent_bytes: int = SENT_BYTES) -> DataFrame:
+    """Documents (text) with each passage (column ``passage``) that their text contains.
+
+    Passages are counted first: up to ``sent_bytes`` they go to all executors, beyond that a text's pieces meet the
+    passages' beginnings by hash, and what meets is compared whole.
+    """
+    size, least = passages.agg(F.sum(F.octet_length("passage")), F.min(F.length("passage"))).first()
+    whole = F.contains(F.col("text"), F.col("passage"))
+    if not least or size <= sent_bytes:
+        return docs.join(F.broadcast(passages), whole)
+    n = min(least, ANCHOR)
+    last = F.length("text") - n + 1
+    hashes = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.substring("text", i, F.lit(n))))
+    pieces = docs.withColumn("_anchor", F.explode(F.array_distinct(hashes)))
+    return pieces.join(passages.withColumn("_anchor", F.xxhash64(F.substring("passage", 1, n))), "_anchor").filter(whole).drop("_anchor")
+
+
+def vector_topk(questions: DataFrame, chunks: DataFrame, k: int = DEFAULT.retrieved, blocks: int | None = None) -> DataFrame:
     """query_id, id, score of the k nearest chunks by cosine of unit vectors, exactly; ties by id.
 
-    A collection's chunks are dealt into blocks and its questions go to each of them, so one large collection is no
-    one task's work. The k best of a question and block are found first, so what meets in the end is k rows a block.
+    A collection's chunks are dealt into blocks (by default one for each BLOCK_ROWS chunks) and its questions go to each
+    of them, so one large collection is no one task's work. The k best of a question and block are found first, so what
+    meets in the end is k rows a block.
     """
+    blocks = blocks or chunks.count() // BLOCK_ROWS + 1
     q = questions.filter("embedding is not null").select("query_id", "collection", F.col("embedding").alias("qv"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     c = chunks.filter("embedding is not null").select("collection", "id", "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
     scored = c.join(q, ["collection", "block"]).select("query_id", "block", "id", F.greatest(F.lit(0.0), dot(F.col("qv"), F.col("embedding"))).alias("score"))

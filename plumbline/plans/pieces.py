@@ -122,11 +122,17 @@ def element_numbering(spark, sf_dir):
 def feed_filters(spark, sf_dir):
     feed = part_delta(spark, sf_dir)[0]
     kinds = {"charted": R.worth_charting(feed, 20), "noise": R.noise(feed, 20), "bearing": R.text_bearing(feed)}
-    out = None
-    for name, rows in kinds.items():
-        one = rows.agg(F.count("*").alias(name))
-        out = one if out is None else out.crossJoin(one)  # one row each
-    return out
+    told = [rows.select(F.lit(name).alias("kind")) for name, rows in kinds.items()]
+    return told[0].unionByName(told[1]).unionByName(told[2]).agg(*[F.count_if(F.col("kind") == name).alias(name) for name in kinds])
+
+
+@query("SELECT l_orderkey AS k, CAST(min(l_quantity) AS DOUBLE) AS x0, CAST(min(l_discount) AS DOUBLE) AS y0, CAST(max(l_quantity + l_tax) AS DOUBLE) AS x1, CAST(max(l_discount + l_tax) AS DOUBLE) AS y1 FROM lineitem GROUP BY l_orderkey")
+def united_boxes(spark, sf_dir):
+    """The box around the boxes of one order's lines."""
+    x, y, wide = F.col("l_quantity"), F.col("l_discount"), F.col("l_tax")
+    box = F.struct(x.alias("x0"), y.alias("y0"), (x + wide).alias("x1"), (y + wide).alias("y1"))
+    boxes = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_list(box).alias("boxes"))
+    return boxes.select("k", G.union(F.col("boxes")).alias("u")).select("k", "u.*")
 
 
 @query("SELECT CAST(e.event_id AS VARCHAR) AS span_id, p.event_type AS parent_name FROM events e LEFT JOIN events p ON p.user_id = e.user_id AND p.event_id = e.event_id - 50")

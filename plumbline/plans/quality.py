@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators import evaluation as E
+from plumbline.operators import retrieval as R
 from plumbline.operators import telemetry as T
 from plumbline.plans.changes import part_delta
 from plumbline.plans.registry import query
@@ -104,8 +105,7 @@ each_ AS (SELECT b.item_id, min(1 + (doc_id * 31) % 7) AS first FROM benchmark b
 def retrieval_recall_mrr(spark, sf_dir):
     """Benchmark passages held in documents; a document's rank is derived from its id."""
     b, d = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
-    passages = F.broadcast(b.select("item_id", F.col("text").alias("passage")))  # a benchmark is a fixed list
-    hits = d.join(passages, F.contains(F.col("text"), F.col("passage"))).select(F.col("item_id").alias("query_id"), (1 + F.col("doc_id") * 31 % 7).alias("rank"), F.col("passage").alias("text"))
+    hits = R.holding(d, b.select("item_id", F.col("text").alias("passage"))).select(F.col("item_id").alias("query_id"), (1 + F.col("doc_id") * 31 % 7).alias("rank"), F.col("passage").alias("text"))
     asked = b.select(F.col("item_id").alias("query_id"), F.lit(True).alias("answerable"), F.array("text").alias("expected"))
     return E.retrieval_quality(hits, asked)[1]
 
@@ -136,3 +136,16 @@ def ground_truth_quality(spark, sf_dir):
     expected = expected.select("pair_id", "gt_id", "change_type", "element_type", "old_text", "new_text", F.struct(F.array("b.x0", "b.y0", "b.x1", "b.y1").alias("bbox")).alias("locator"))
     pairs = deltas.select("pair_id").distinct().withColumn("negative_control", F.lit(False))
     return E.delta_quality(deltas, expected, pairs, stats).select("pair_id", "tp", "fp", "fn", "noise", "prf1.precision", "prf1.recall", "prf1.f1")
+
+
+@query("""WITH l AS (SELECT CAST(doc_id AS VARCHAR) AS qa_id, quality, toxic FROM labels WHERE doc_id % 3 = 0)
+SELECT CAST(count(*) AS BIGINT) AS n, round(avg(CASE WHEN quality = toxic THEN 1.0 ELSE 0.0 END), 4) AS exact_correctness, round(avg(abs(quality - toxic)), 4) AS mean_abs_diff_correctness,
+  round(avg(CASE WHEN toxic = 1 THEN 1.0 ELSE 0.0 END), 4) AS exact_groundedness, round(avg(abs(1 - toxic)), 4) AS mean_abs_diff_groundedness FROM l WHERE CAST(qa_id AS BIGINT) % 5 <> 0""")
+def held_out_agreement(spark, sf_dir):
+    """A person's and a judge's scores of held-out questions; replies that couldn't be read have none."""
+    rows = table(spark, sf_dir, "labels").withColumn("qa_id", F.col("doc_id").cast("string"))
+    unread = F.col("doc_id") % 5 == 0
+    judged = rows.select("qa_id", F.when(~unread, F.col("toxic")).alias("correctness"), F.col("toxic").alias("groundedness"))
+    people = rows.select("qa_id", F.col("quality").alias("correctness"), F.lit(1).alias("groundedness"))
+    questions = rows.select("qa_id", F.when(F.col("doc_id") % 3 == 0, True).otherwise(F.when(F.col("doc_id") % 2 == 0, False)).alias("held_out"))
+    return E.agreement(E.judged_rows(judged, people, questions))

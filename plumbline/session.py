@@ -35,9 +35,11 @@ def reachable(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or an own one where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, one of this machine if Spark runs on it alone."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         base = "file:///tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
     folder = f"{base.rstrip('/')}/plumbline-{spark.sparkContext.applicationId}"

@@ -93,3 +93,30 @@ def test_ground_truth_quality(spark, sf_dir):
         assert (r.tp, r.fp, r.fn, r.recall) == (tp, fp, 0, 1.0)
         assert (r.precision, r.f1) == (pytest.approx(round(precision, 4)), pytest.approx(round(2 * precision / (precision + 1), 4)))
         assert r.noise == sum(not x.wanted and x.t != "" and len(x.t.strip()) < 2 for x in mine)
+
+
+def test_passages_by_hash_or_sent(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from plumbline.operators import retrieval
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    passages = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.col("text").alias("passage"))
+    pairs = lambda **kw: sorted(map(tuple, retrieval.holding(docs, passages, **kw).select("doc_id", "item_id").collect()))
+    assert pairs() == pairs(sent_bytes=0) != []
+
+
+def test_a_cluster_has_to_name_its_folder(monkeypatch):
+    from plumbline import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):  # noqa: N802
+            return {}
+
+    class Session:
+        conf, sparkContext = {}, Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_folder(Session())
