@@ -22,17 +22,19 @@ GRAM = 3
 def hashed_ngrams(texts: list[str], dimensions: int = DIMENSIONS, n: int = GRAM) -> np.ndarray:
     """Unit vectors of hashed character n-grams; an empty text gives zeros."""
     import zlib
-
-    out = np.zeros((len(texts), dimensions), np.float32)
-    for row, text in zip(out, texts, strict=True):
-        t = f" {' '.join(text.lower().split())} "
-        for i in range(max(0, len(t) - n + 1)):
-            h = zlib.crc32(t[i : i + n].encode())
-            row[h % dimensions] += 1.0 if h & 0x80000000 else -1.0
-        norm = float(np.linalg.norm(row))
-        if norm:
-            row /= norm
-    return out
+    from itertools import chain
+
+    spaced = [f" {' '.join(t.lower().split())} " for t in texts]
+    grams = [[t[i : i + n] for i in range(len(t) - n + 1)] for t in spaced]
+    sizes = np.fromiter(map(len, grams), np.int64, len(grams))
+    numbers: dict[str, int] = {}
+    found = np.fromiter((numbers.setdefault(g, len(numbers)) for g in chain.from_iterable(grams)), np.int64, int(sizes.sum()))
+    hashes = np.fromiter((zlib.crc32(g.encode()) for g in numbers), np.int64, len(numbers))[found]
+    cells = np.repeat(np.arange(len(grams)), sizes) * dimensions + hashes % dimensions
+    signs = np.where(hashes & 0x80000000, 1.0, -1.0)
+    out = np.bincount(cells, signs, len(grams) * dimensions).reshape(-1, dimensions)
+    norms = np.linalg.norm(out, axis=1, keepdims=True)
+    return (out / np.where(norms > 0, norms, 1.0)).astype(np.float32)
 
 
 def embedding(make: Callable[[], Callable[[list[str]], np.ndarray]] | None = None):

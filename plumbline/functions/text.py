@@ -125,24 +125,31 @@ def element_key(kind: Column, text: Column, attributes: Column) -> Column:
 
 # retrieval
 
+# How questions name labels and notes, how answers cite, and how models and providers say a few things.
+LABEL_LIKE = r"([A-Za-z0-9][A-Za-z0-9\-/]{1,})"
+NOTE_NAMED = r"(?i)\bnote\s*(?:number\s*)?#?\s*(\d{1,3})\b"
+CITED = r"\[([^\[\]]+)\]"
+THOUGHT = r"(?s)<think>.*?</think>"
+NOTHING_READ = r"(?i)^\W*(empty|no text( visible| found)?|n/?a|none)\W*$"
+WAIT_MINUTES = r"(?i)try again in\s+(\d+)m([\d.]+)s\b"
+WAIT = r"(?i)try again in\s+([\d.]+)\s*(ms|s|m)\b"
+REFUSAL = "NOT_GROUNDED:"
+NO_REASON = "insufficient grounded context"
+
 
 def tag_tokens(question: Column) -> Column:
     """Distinct words of a question that look like a label: three characters or more, with a digit."""
-    found = F.regexp_extract_all(question, F.lit(r"([A-Za-z0-9][A-Za-z0-9\-/]{1,})"), F.lit(1))
+    found = F.regexp_extract_all(question, F.lit(LABEL_LIKE), F.lit(1))
     return F.array_distinct(F.filter(found, lambda x: (F.length(x) >= 3) & x.rlike(r"\d")))
 
 
 def note_numbers(question: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(question, F.lit(r"(?i)\bnote\s*(?:number\s*)?#?\s*(\d{1,3})\b"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(question, F.lit(NOTE_NAMED), F.lit(1)))
 
 
 def citations(answer: Column) -> Column:
     """Distinct bracketed ids of an answer, in order."""
-    return F.array_distinct(F.regexp_extract_all(answer, F.lit(r"\[([^\[\]]+)\]"), F.lit(1)))
-
-
-REFUSAL = "NOT_GROUNDED:"
-NO_REASON = "insufficient grounded context"
+    return F.array_distinct(F.regexp_extract_all(answer, F.lit(CITED), F.lit(1)))
 
 
 def refusal(reply: Column) -> Column:
@@ -155,23 +162,21 @@ def refusal(reply: Column) -> Column:
 
 def without_thinking(reply: Column) -> Column:
     """Without <think> parts; after an orphan end only what follows the last one."""
-    cut = F.regexp_replace(reply, r"(?s)<think>.*?</think>", "")
+    cut = F.regexp_replace(reply, THOUGHT, "")
     return strip(F.substring_index(cut, "</think>", -1))
 
 
 def empty_reply(reply: Column) -> Column:
     """Replies that say there is nothing become empty."""
-    return F.when(reply.rlike(r"(?i)^\W*(empty|no text( visible| found)?|n/?a|none)\W*$"), F.lit("")).otherwise(reply)
+    return F.when(reply.rlike(NOTHING_READ), F.lit("")).otherwise(reply)
 
 
 def retry_seconds(message: Column) -> Column:
     """How long a provider's message says to wait; null if it doesn't."""
-    long = r"(?i)try again in\s+(\d+)m([\d.]+)s\b"
-    short = r"(?i)try again in\s+([\d.]+)\s*(ms|s|m)\b"
-    number = F.regexp_extract(message, short, 1).try_cast("double")
-    unit = F.lower(F.regexp_extract(message, short, 2))
+    number = F.regexp_extract(message, WAIT, 1).try_cast("double")
+    unit = F.lower(F.regexp_extract(message, WAIT, 2))
     each = F.when(unit == "ms", number / 1000.0).when(unit == "m", number * 60.0).otherwise(number)
-    return F.when(message.rlike(long), F.regexp_extract(message, long, 1).try_cast("double") * 60.0 + F.regexp_extract(message, long, 2).try_cast("double")).when(message.rlike(short), each)
+    return F.when(message.rlike(WAIT_MINUTES), F.regexp_extract(message, WAIT_MINUTES, 1).try_cast("double") * 60.0 + F.regexp_extract(message, WAIT_MINUTES, 2).try_cast("double")).when(message.rlike(WAIT), each)
 
 
 #: Fixed value: how a judge's reply names its scores.
