@@ -7,17 +7,22 @@ group in one task's memory. ``grouped`` is the form for many small groups: one p
 
 from __future__ import annotations
 
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.session import reachable, written
 
 
-def mutual_best(candidates: DataFrame, group: list[str], a: str = "a_id", b: str = "b_id", score: str = "score", ascending: bool = False, ties: list[str] | None = None) -> DataFrame:
+#: Candidates that one task takes one by one.
+REST = 20_000
+
+
+def mutual_best(candidates: DataFrame, group: list[str], a: str = "a_id", b: str = "b_id", score: str = "score", ascending: bool = False, ties: list[str] | None = None, rest: int = REST) -> DataFrame:
     """The assigned rows of ``candidates``. ``group`` columns are part of both sides' identity.
 
     Rows with a null id or score are no candidates; of equal rows one is used. ``ties`` (default: a, b) decide between
-    equal scores.
+    equal scores. Up to ``rest`` candidates of all groups together are taken one by one, with the same result.
     """
     order = [F.col(score).asc() if ascending else F.col(score).desc(), *[F.col(x) for x in (ties or [a, b])]]
     by_a, by_b = (Window.partitionBy(*group, x).orderBy(*order) for x in (a, b))
@@ -28,27 +33,30 @@ def mutual_best(candidates: DataFrame, group: list[str], a: str = "a_id", b: str
         best = ranked.filter("_best").drop("_best")
         taken = best if taken is None else taken.unionByName(best)
         left = ranked.filter("not _best").drop("_best").join(best.select(*group, a), [*group, a], "left_anti").join(best.select(*group, b), [*group, b], "left_anti").select(*candidates.columns)
-        if ranked.filter("not _best").isEmpty():
+        waiting = ranked.filter("not _best").count()
+        if not waiting:
             return taken
+        if waiting <= rest:
+            return taken.unionByName(grouped(left, group, a, b, score, ascending, ties))
 
 
-def grouped(candidates: DataFrame, group: list[str], a: str = "a_id", b: str = "b_id", score: str = "score") -> DataFrame:
+def grouped(candidates: DataFrame, group: list[str], a: str = "a_id", b: str = "b_id", score: str = "score", ascending: bool = False, ties: list[str] | None = None) -> DataFrame:
     """The same pairs for groups that are known to be small."""
     reachable(candidates.sparkSession)
-    columns = candidates.columns
+    columns, ties = candidates.columns, ties or [a, b]
 
-    def take(pdf):
-        used_a, used_b, rows = set(), set(), []
-        ranked = pdf.assign(_down=-pdf[score]).sort_values(["_down", a, b], kind="stable")
-        for i, x, y in zip(ranked.index, ranked[a], ranked[b], strict=True):
+    def take(rows):
+        ranked = rows.take(pc.sort_indices(rows, [(score, "ascending" if ascending else "descending"), *[(t, "ascending") for t in ties]]))
+        used_a, used_b, kept = set(), set(), []
+        for i, (x, y) in enumerate(zip(ranked[a].to_pylist(), ranked[b].to_pylist(), strict=True)):
             if x not in used_a and y not in used_b:
                 used_a.add(x)
                 used_b.add(y)
-                rows.append(i)
-        return pdf.loc[rows, columns]
+                kept.append(i)
+        return ranked.take(kept).select(columns)
 
     full = candidates.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & F.col(score).isNotNull())
-    return full.groupBy(*group).applyInPandas(take, candidates.schema)
+    return full.groupBy(*group).applyInArrow(take, candidates.schema)
 
 
 def one_to_one(candidates: DataFrame, group: list[str], small_groups: bool = False) -> DataFrame:

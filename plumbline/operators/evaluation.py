@@ -41,7 +41,11 @@ def similarity(spark, least: float = 0.0):
 def texts_match(ratio, a: Column, b: Column, threshold: float = DEFAULT.fuzzy_ratio) -> Column:
     """Equal but for white space at the edges, or alike; null matches null only, an empty text matches an empty one."""
     x, y = X.strip(a), X.strip(b)
-    return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).when(x == y, True).when((x == "") | (y == ""), False).otherwise(ratio(x, y) >= threshold)
+    # the ratio is at most twice the shorter length over both: only texts that can reach the threshold go to Python
+    m, n = F.length(F.lower(x)), F.length(F.lower(y))
+    open_ = (x != y) & (2.0 * F.least(m, n) >= F.lit(threshold) * (m + n) - 1e-9)
+    asked = F.coalesce(ratio(F.when(open_, x), F.when(open_, y)) >= threshold, F.lit(False))
+    return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).when(x == y, True).when((x == "") | (y == ""), False).otherwise(asked)
 
 
 def precision_recall_f1(tp: Column, fp: Column, fn: Column) -> Column:
@@ -146,6 +150,23 @@ def chat_summary(items: DataFrame) -> DataFrame:
     )
 
 
+def chat_items(questions: DataFrame, answered: DataFrame, judged: DataFrame) -> DataFrame:
+    """One record per question: what was replied, whether refusing was right, its citations and the judge's scores.
+
+    questions: qa_id, question, answerable; answered: qa_id and the columns of ``retrieval.answers``, reply; judged:
+    qa_id, correctness, groundedness. A question without an answer counts as refused; one whose judgement is missing or
+    could not be read has no scores, and stays. What ``chat_summary`` averages.
+    """
+    none = F.array().cast("array<string>")
+    refused = F.coalesce("refused", F.lit(True))
+    scores = judged.filter("correctness is not null and groundedness is not null").select("qa_id", "correctness", "groundedness")
+    rows = questions.select("qa_id", "question", "answerable").join(answered.select("qa_id", "reply", "refused", "cited", "invalid"), "qa_id", "left").join(scores, "qa_id", "left")
+    return rows.select(
+        "qa_id", "question", "answerable", F.coalesce("reply", F.lit("")).alias("answer"), refused.alias("refused"), (refused == ~F.col("answerable")).alias("correct_refusal"),
+        F.coalesce("cited", none).alias("citations"), F.coalesce("invalid", none).alias("invalid_citations"), "correctness", "groundedness",
+    )
+
+
 def scorecard_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """label, old, new, delta, regressed of two tables (label, value, higher_is_better); a missing value never regresses."""
     a = old.select("label", F.col("value").alias("old"), F.col("higher_is_better").alias("h_old"))

@@ -1,4 +1,4 @@
-"""Sequential rules over sorted groups, without one Python call and one data frame per group."""
+"""Sequential rules over sorted groups, without one Python call and one data frame per group; places in a sorted table."""
 
 from __future__ import annotations
 
@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-from plumbline.session import reachable
+from plumbline.session import reachable, written
 
 
 def sorted_groups(df: DataFrame, keys: list[str], order: list[str], rule: Callable[[dict[str, list]], list[tuple]], schema) -> DataFrame:
@@ -49,3 +50,15 @@ def sorted_groups(df: DataFrame, keys: list[str], order: list[str], rule: Callab
     shape = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     fields = shape.fieldNames()
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, shape)
+
+
+def numbered(ordered: DataFrame, name: str = "place") -> DataFrame:
+    """Rows of a sorted table with their place in it, from 1; no task has to see more than its part of the table.
+
+    Places inside the sorted partitions come first, then what lies before each partition is added: one row a partition.
+    """
+    rows = written(ordered.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    rows = rows.withColumns({"_part": F.shiftright("_at", 33), "_in": F.col("_at").bitwiseAND((1 << 33) - 1)})
+    before = F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = rows.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    return rows.join(parts, "_part").withColumn(name, F.col("_before") + F.col("_in") + 1).drop("_part", "_in", "_at", "_before")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import align as A
 from plumbline.operators import assign, delta, retrieval
 from plumbline.operators import report as R
+from plumbline.operators.groups import numbered
 from plumbline.plans.registry import query
 from plumbline.session import table
 from plumbline.sources import tables
@@ -145,6 +146,12 @@ def delta_sentences(spark, sf_dir):
     return R.text_bearing(feed).join(part_pairs(feed), "pair_id").select(R.sentence().alias("sentence"), R.chunk_id().alias("id"), R.label().alias("label"))
 
 
+@query(ELEMENTS + NAMED + "SELECT change_type, old_element_id, new_element_id, CAST(row_number() OVER (ORDER BY pair, change_type, coalesce(old_element_id, ''), coalesce(new_element_id, '')) AS BIGINT) AS place FROM named")
+def delta_in_order(spark, sf_dir):
+    """Every change with its place in the report's order."""
+    return numbered(delta.in_order(part_delta(spark, sf_dir)[0])).select("change_type", "old_element_id", "new_element_id", "place")
+
+
 _LABEL = "CASE change_type WHEN 'modified' THEN 'modified ' || element_type || ': ' || old_text || ' -> ' || new_text WHEN 'added' THEN 'added ' || element_type || ': ' || new_text ELSE 'removed ' || element_type || ': ' || old_text END AS label"
 
 

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from plumbline.operators import evaluation as E
 from plumbline.operators import retrieval as R
 from plumbline.operators import telemetry as T
+from plumbline.operators.groups import numbered
 from plumbline.plans.changes import part_delta
 from plumbline.plans.registry import query
 from plumbline.session import table, written
+from plumbline.sources.tables import newest_first
 
 
 def event_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,3 +151,25 @@ def held_out_agreement(spark, sf_dir):
     people = rows.select("qa_id", F.col("quality").alias("correctness"), F.lit(1).alias("groundedness"))
     questions = rows.select("qa_id", F.when(F.col("doc_id") % 3 == 0, True).otherwise(F.when(F.col("doc_id") % 2 == 0, False)).alias("held_out"))
     return E.agreement(E.judged_rows(judged, people, questions))
+
+
+@query("""WITH q AS (SELECT CAST(doc_id AS VARCHAR) AS qa_id, doc_id, quality, toxic, doc_id % 4 = 0 AS silent, doc_id % 3 = 0 AS declined FROM labels)
+SELECT qa_id, toxic = 0 AS answerable, CASE WHEN silent THEN '' WHEN declined THEN 'NOT_GROUNDED: no' ELSE 'see [' || qa_id || '] and [x]' END AS answer, silent OR declined AS refused, (silent OR declined) = (toxic <> 0) AS correct_refusal,
+  CASE WHEN silent OR declined THEN '' ELSE qa_id END AS citations, CASE WHEN silent OR declined THEN '' ELSE 'x' END AS invalid_citations, CASE WHEN doc_id % 5 <> 0 THEN quality END AS correctness, CASE WHEN doc_id % 5 <> 0 THEN toxic END AS groundedness FROM q""")
+def chat_items(spark, sf_dir):
+    """Records of an evaluated chat: some questions have no reply, some replies decline, some judgements can't be read."""
+    rows = table(spark, sf_dir, "labels").withColumn("qa_id", F.col("doc_id").cast("string"))
+    questions = rows.select("qa_id", F.lit("?").alias("question"), (F.col("toxic") == 0).alias("answerable"))
+    said = F.when(F.col("doc_id") % 3 == 0, "NOT_GROUNDED: no").otherwise(F.format_string("see [%s] and [x]", "qa_id"))
+    replies = rows.filter("doc_id % 4 <> 0").select(F.col("qa_id").alias("query_id"), said.alias("reply"))
+    answered = R.answers(replies, replies.select("query_id", F.col("query_id").alias("id"))).join(replies, "query_id").withColumnRenamed("query_id", "qa_id")
+    judged = rows.select("qa_id", F.when(F.col("doc_id") % 5 != 0, F.col("quality")).alias("correctness"), F.col("toxic").alias("groundedness"))
+    items = E.chat_items(questions, answered, judged)
+    return items.withColumns({c: F.array_join(c, ",") for c in ("citations", "invalid_citations")}).drop("question")
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS session_id, CAST(row_number() OVER (ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR)) AS BIGINT) AS place FROM orders")
+def sessions_newest_first(spark, sf_dir):
+    """Orders as sessions, with their place in the list."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("session_id"), F.col("o_orderdate").alias("created_at"))
+    return numbered(newest_first(rows)).select("session_id", "place")

@@ -55,7 +55,8 @@ def spans(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def write_spans(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").partitionBy("trace_id").json(path)
+    """Append spans as JSON lines. A trace's spans stand together, in order of their start, in one file of many traces."""
+    rows.repartition("trace_id").sortWithinPartitions("trace_id", "start_time", "span_id").write.mode("append").json(path)
 
 
 SCORECARD = "label string, value double, higher_is_better boolean"
@@ -115,3 +116,8 @@ def page_copies(elements: DataFrame, n: int, pages: int = 1) -> DataFrame:
 def latest(rows: DataFrame, keys: list[str], by: str) -> DataFrame:
     order = Window.partitionBy(*keys).orderBy(F.col(by).desc())
     return rows.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+
+
+def newest_first(sessions: DataFrame) -> DataFrame:
+    """Sessions (session_id, created_at) as they are listed; of those made at one time the smaller id comes first."""
+    return sessions.orderBy(F.col("created_at").desc(), "session_id")

@@ -2,7 +2,7 @@
 
 import pytest
 
-from plumbline.operators.groups import sorted_groups
+from plumbline.operators.groups import numbered, sorted_groups
 
 
 @pytest.mark.parametrize("batch", ["1", "3", "10000"])
@@ -15,3 +15,10 @@ def test_groups_are_whole(spark, batch):
     none = sorted_groups(df.limit(0), ["k"], ["v"], lambda g: [(g["k"][0], 1, True)], "k string, n long, sorted boolean").count()
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert {(r.k, r.n, r.sorted) for r in got} == {(f"k{i}", len(range(i, 60, 7)), True) for i in range(7)} and none == 0
+
+
+def test_places_in_a_sorted_table(spark):
+    rows = spark.range(0, 5000, 1, 7).selectExpr("pmod(id * 7919, 5003) as k")
+    got = numbered(rows.orderBy("k")).collect()
+    assert sorted((r.place, r.k) for r in got) == list(enumerate(sorted(r.k for r in rows.collect()), 1))
+    assert numbered(rows.limit(0).orderBy("k")).count() == 0

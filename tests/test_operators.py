@@ -2,6 +2,7 @@
 
 import random
 from difflib import SequenceMatcher
+from functools import partial
 
 import pytest
 from hypothesis import given, settings
@@ -82,10 +83,21 @@ def test_mutual_best_is_greedy(spark, rows):
             used |= {(g, "a", a), (g, "b", b)}
             want.add((g, a, b))
     df = spark.createDataFrame(rows, "g int, a_id int, b_id int, score double")
-    for form in (assign.mutual_best, assign.grouped, assign.one_to_one):
+    rounds_only = partial(assign.mutual_best, rest=0)
+    for form in (assign.mutual_best, rounds_only, assign.grouped, assign.one_to_one):
         assert {(r.g, r.a_id, r.b_id) for r in form(df, ["g"]).collect()} == want
 
 
+def test_rest_is_taken_like_rounds(spark):
+    """A chain of candidates, by distance with other ties, with columns that pandas would change."""
+    n = 60
+    rows = [("p", f"a{i:02}", f"b{j:02}", float(2 * i + (j - i)), None if i % 2 else 2**60 + i) for i in range(n) for j in (i, i + 1)]
+    df = spark.createDataFrame(rows, "g string, a_id string, b_id string, d double, n long")
+    forms = [assign.mutual_best(df, ["g"], score="d", ascending=True, ties=["b_id", "a_id"], rest=r).collect() for r in (100, 1000)]
+    want = [("p", f"a{i:02}", f"b{i:02}", 2.0 * i, None if i % 2 else 2**60 + i) for i in range(n)]
+    assert [sorted(map(tuple, f), key=lambda r: r[1]) for f in forms] == [want, want]
+
+
 def test_results_do_not_depend_on_partitions(spark):
     r = random.Random(1)
     a = [el(f"a{i}", f"26-KA-{100 + r.randrange(30)}", x=r.random(), y=r.random()) for i in range(80)]
