@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import cost as token_cost
+from plumbline.session import written
 from plumbline.settings import DEFAULT, Settings
 
 LLM_SPANS = ["llm.complete", "llm.read_image_text"]
@@ -18,11 +19,33 @@ def attribute(name: str, kind: str = "string") -> Column:
 
 
 def latency(spans: DataFrame) -> DataFrame:
-    """Per name: count, mean, exact percentiles by linear interpolation, maximum."""
+    """Per name: count, mean, exact percentiles by linear interpolation, maximum.
+
+    Equal durations of a name are counted first. Ranks come from a table sorted by range, in which a frequent name lies
+    over many partitions, so that no task holds all durations of a name. Null durations count as spans only; null names
+    are one name; an empty table gives no rows.
+    """
     at = {"p50_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99}
-    return spans.groupBy("name").agg(
-        F.count("*").alias("n"), F.round(F.avg("duration_ms"), 3).alias("mean_ms"), *[F.round(F.percentile("duration_ms", F.lit(p)), 3).alias(n) for n, p in at.items()], F.round(F.max("duration_ms"), 3).alias("max_ms")
-    )
+    counted = written(spans.groupBy("name", "duration_ms").agg(F.count("*").alias("n")), "durations")
+    timed = F.when(F.col("duration_ms").isNotNull(), F.col("n"))
+    told = counted.groupBy("name").agg(F.sum("n").alias("n"), F.round(F.sum(F.col("duration_ms") * F.col("n")) / F.sum(timed), 3).alias("mean_ms"), F.round(F.max("duration_ms"), 3).alias("max_ms"))
+
+    placed = written(counted.filter("duration_ms is not null").orderBy("name", "duration_ms").withColumn("part", F.spark_partition_id()), "ranked")
+    so_far = Window.partitionBy("part", "name").orderBy("duration_ms").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy("name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy("part", "name").agg(F.sum("n").alias("held"))
+    parts = parts.select("part", F.col("name").alias("of"), F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("before"), F.sum("held").over(Window.partitionBy("name")).alias("all"))
+    ranked = placed.withColumn("last", F.sum("n").over(so_far)).join(parts.withColumnRenamed("part", "p"), (F.col("part") == F.col("p")) & F.col("name").eqNullSafe(F.col("of")))
+    ranked = ranked.select("name", "duration_ms", "all", (F.col("before") + F.col("last") - F.col("n")).alias("first"), (F.col("before") + F.col("last") - 1).alias("last"))
+    place = {n: F.lit(p) * (F.col("all") - 1) for n, p in at.items()}
+    holds = lambda rank: F.max(F.when(rank.between(F.col("first"), F.col("last")), F.col("duration_ms")))
+    ends = [x for n, pos in place.items() for x in (holds(F.floor(pos)).alias(f"{n}_low"), holds(F.ceil(pos)).alias(f"{n}_high"))]
+    found = ranked.groupBy(F.col("name").alias("of"), "all").agg(*ends)
+    share = lambda n: place[n] - F.floor(place[n])  # noqa: E731  of the upper one
+    mixed = lambda n: F.col(f"{n}_low") * (F.ceil(place[n]) - place[n]) + F.col(f"{n}_high") * share(n)  # noqa: E731  as the built-in percentile weighs them
+    between = lambda n: F.round(F.when(F.col(f"{n}_low") == F.col(f"{n}_high"), F.col(f"{n}_low")).otherwise(mixed(n)), 3).alias(n)
+    found = found.select("of", *[between(n) for n in at])
+    return told.join(found, F.col("name").eqNullSafe(F.col("of")), "left").select("name", "n", "mean_ms", *at, "max_ms")
 
 
 def usage(spans: DataFrame, s: Settings = DEFAULT) -> DataFrame:

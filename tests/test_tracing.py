@@ -1,5 +1,8 @@
 """Recorded spans."""
 
+import random
+
+import numpy as np
 import pytest
 
 from plumbline.operators import telemetry
@@ -40,3 +43,18 @@ def test_a_trace_is_one_stretch_of_one_file(spark, tmp_path):
 def test_sessions_newest_first(spark):
     rows = spark.createDataFrame([("b", 2), ("a", 2), ("c", 3), ("d", 1), ("e", None)], "session_id string, created_at int")
     assert [r.session_id for r in tables.newest_first(rows).collect()] == ["c", "a", "b", "d", "e"]
+
+
+def test_percentiles_are_exact(spark):
+    """Ties, a name with most of the rows, names of one span, null durations and a null name."""
+    r = random.Random(2)
+    rows = [("hot", r.choice([r.random() * 100, float(r.randrange(4))])) for _ in range(3000)] + [("one", 7.5), (None, 1.0), (None, 4.0), ("void", None), ("some", None), ("some", 2.0)]
+    df = spark.createDataFrame(rows, "name string, duration_ms double").repartition(7)
+    got = {x["name"]: x for x in telemetry.latency(df).collect()}
+    assert set(got) == {"hot", "one", None, "void", "some"}
+    for name, x in got.items():
+        mine = [d for n, d in rows if n == name]
+        known = [d for d in mine if d is not None]
+        want = [*np.percentile(known, [50, 95, 99]), max(known), np.mean(known)] if known else [None] * 5
+        assert x.n == len(mine) and [x.p50_ms, x.p95_ms, x.p99_ms, x.max_ms, x.mean_ms] == [None if w is None else pytest.approx(w, abs=6e-4) for w in want]
+    assert telemetry.latency(df.limit(0)).count() == 0
