@@ -5,12 +5,12 @@ Elements carry ``pair_id``; all pairs are aligned in one job. Ids are unique wit
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as G
 from plumbline.functions import text as X
-from plumbline.operators.assign import one_to_one
+from plumbline.operators.assign import mutual_best, one_to_one
 from plumbline.schemas import MATCH
 from plumbline.session import written
 from plumbline.settings import DEFAULT, Settings
@@ -49,9 +49,53 @@ def exact_key_candidates(a: DataFrame, b: DataFrame) -> DataFrame:
     return keyed[0].join(keyed[1], shared).select(*shared, "a_id", "b_id", d.alias("d"), (1 - d).alias("score"))
 
 
-def exact_key(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Equal keys on one page; of several, the nearest."""
-    return _matched(one_to_one(exact_key_candidates(a, b), ["pair_id", "key", "page"]), "exact_key", F.lit(1.0))
+#: Pairs of one key and page up to which all are candidates at once.
+CROWDED = 10_000
+#: Radii in which the elements of a crowded key are paired, one after the other; at last all that are left meet.
+_RADII = (0.0025, 0.01, 0.04, 0.16, 0.64, None)
+
+
+def exact_key(a: DataFrame, b: DataFrame, crowded: int = CROWDED) -> DataFrame:
+    """Equal keys on one page; of several, the nearest.
+
+    A key that many elements of a page share would make as many candidates as the product of both sides; above
+    ``crowded`` its elements are paired radius by radius, with the same result.
+    """
+    shared = ["pair_id", "key", "page"]
+    sides = [x.filter("key is not null").select(*shared, F.lit(i).alias("side")) for i, x in ((0, a), (1, b))]
+    sizes = sides[0].unionByName(sides[1]).groupBy(*shared).agg(F.count_if(F.col("side") == 0).alias("n"), F.count_if(F.col("side") == 1).alias("m"))
+    many = written(sizes.filter(F.col("n") * F.col("m") > crowded).select(*shared), "crowded")
+    if many.isEmpty():
+        return _matched(one_to_one(exact_key_candidates(a, b), shared), "exact_key", F.lit(1.0))
+    few = [x.join(many, shared, "left_anti") for x in (a, b)]
+    plain = _matched(one_to_one(exact_key_candidates(*few), shared), "exact_key", F.lit(1.0))
+    return plain.unionByName(_matched(_nearest_first(*[written(x.join(many, shared, "left_semi"), "crowd") for x in (a, b)], shared), "exact_key", F.lit(1.0)))
+
+
+def _nearest_first(a: DataFrame, b: DataFrame, shared: list[str]) -> DataFrame:
+    """One-to-one pairs by distance, then ids: shared, a_id, b_id, d.
+
+    What the nearest-first order takes within a radius depends on pairs within it only, so radii can follow each other,
+    each for what is left. Elements at one place come first: there the order pairs the first with the first, and so on.
+    """
+    left = [_side(x.select(*shared, "id", "x", "y"), s, shared) for x, s in ((a, "a"), (b, "b"))]
+    at = [*shared, "x", "y", "nth"]
+    nth = [x.select(*shared, F.col(f"{s}_x").alias("x"), F.col(f"{s}_y").alias("y"), f"{s}_id").withColumn("nth", F.row_number().over(Window.partitionBy(*shared, "x", "y").orderBy(f"{s}_id"))) for x, s in zip(left, "ab", strict=True)]
+    names = [*shared, "a_id", "b_id", "d"]
+    found = written(nth[0].join(nth[1], at).withColumn("d", F.lit(0.0)).select(*names), "in-place")
+    taken = found
+    for radius in _RADII:
+        left = [written(x.join(found.select(*shared, f"{s}_id"), [*shared, f"{s}_id"], "left_anti"), "left") for x, s in zip(left, "ab", strict=True)]
+        if left[0].isEmpty() or left[1].isEmpty():
+            break
+        keys, (p, q) = shared, left
+        if radius is not None:
+            cell = [G.cells(F.col(f"{s}_x"), F.col(f"{s}_y"), radius * 1.001, s == "b") for s in "ab"]
+            keys, p, q = [*shared, "cell"], p.withColumn("cell", cell[0]), q.withColumn("cell", F.explode(cell[1]))
+        near = p.join(q, keys).withColumn("d", _distance()).select(*names)
+        found = mutual_best(near if radius is None else near.filter(F.col("d") <= radius), shared, score="d", ascending=True)
+        taken = taken.unionByName(found)
+    return taken
 
 
 def geometry_candidates(a: DataFrame, b: DataFrame, s: Settings = DEFAULT) -> DataFrame:

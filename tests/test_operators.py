@@ -1,5 +1,6 @@
 """Alignment, classification, recognition and drawing rules on hand-made inputs."""
 
+import math
 import random
 from difflib import SequenceMatcher
 from functools import partial
@@ -98,6 +99,23 @@ def test_rest_is_taken_like_rounds(spark):
     assert [sorted(map(tuple, f), key=lambda r: r[1]) for f in forms] == [want, want]
 
 
+@pytest.mark.parametrize("n, m", [(90, 110), (60, 0)])
+def test_crowded_keys_pair_with_the_nearest(spark, n, m):
+    """Elements of one key, some at one place, some far out, beside a key that isn't crowded: nearest first over all pairs."""
+    r = random.Random(n)
+    spot = lambda: r.choice([(0.5, 0.5), (0.25, 0.75), (r.random(), r.random()), (round(r.random(), 2), 0.1), (r.random() * 4, 3.0)])
+    sides = [[(f"{s}{i:03}", "26-KA-1" if i % 9 else "26-KA-2", *spot()) for i in range(k)] for s, k in (("a", n), ("b", m))]
+    frames = [align.located(spark.createDataFrame([el(i, t, x=x, y=y) for i, t, x, y in s], ROW)) for s in sides]
+    pairs = sorted((math.hypot(p[2] - q[2], p[3] - q[3]), p[0], q[0]) for p in sides[0] for q in sides[1] if p[1] == q[1])
+    used, want = set(), set()
+    for _, p, q in pairs:
+        if not {p, q} & used:
+            used |= {p, q}
+            want.add((p, q))
+    for crowded in (10, 2000, 10**6):
+        assert {(x.a_id, x.b_id) for x in align.exact_key(*frames, crowded=crowded).collect()} == want
+
+
 def test_results_do_not_depend_on_partitions(spark):
     r = random.Random(1)
     a = [el(f"a{i}", f"26-KA-{100 + r.randrange(30)}", x=r.random(), y=r.random()) for i in range(80)]
