@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.session import reachable, written
+from plumbline.session import dealt, reachable, written
 
 
 #: Candidates that one task takes one by one.
@@ -32,7 +32,7 @@ def mutual_best(candidates: DataFrame, group: list[str], a: str = "a_id", b: str
         ranked = written(left.withColumn("_best", (F.row_number().over(by_a) == 1) & (F.row_number().over(by_b) == 1)), "candidates")
         best = ranked.filter("_best").drop("_best")
         taken = best if taken is None else taken.unionByName(best)
-        left = ranked.filter("not _best").drop("_best").join(best.select(*group, a), [*group, a], "left_anti").join(best.select(*group, b), [*group, b], "left_anti").select(*candidates.columns)
+        left = ranked.filter("not _best").drop("_best").join(dealt(best.select(*group, a)), [*group, a], "left_anti").join(dealt(best.select(*group, b)), [*group, b], "left_anti").select(*candidates.columns)
         waiting = ranked.filter("not _best").count()
         if not waiting:
             return taken

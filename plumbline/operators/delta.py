@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as X
-from plumbline.operators.align import align
+from plumbline.operators.align import align, leftover
+from plumbline.session import dealt
 from plumbline.settings import DEFAULT, Settings
 
 COLUMNS = ["pair_id", "change_type", "element_type", "old_element_id", "new_element_id", "old_text", "new_text", "old_bbox", "new_bbox", "match_tier", "confidence"]
@@ -25,7 +26,7 @@ def unchanged() -> Column:
 
 def paired(matches: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     """Matches with both elements, and whether they are unchanged."""
-    return matches.join(_sided(a, "a"), ["pair_id", "a_id"]).join(_sided(b, "b"), ["pair_id", "b_id"]).withColumn("unchanged", unchanged())
+    return matches.join(dealt(_sided(a, "a")), ["pair_id", "a_id"]).join(dealt(_sided(b, "b")), ["pair_id", "b_id"]).withColumn("unchanged", unchanged())
 
 
 def change_feed(matches: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
@@ -37,7 +38,7 @@ def change_feed(matches: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
     def alone(elements: DataFrame, side: str, change: str) -> DataFrame:
-        rows = elements.join(matches.select("pair_id", F.col(f"{side}_id").alias("id")), ["pair_id", "id"], "left_anti")
+        rows = leftover(elements, matches, side)
         mine, other = ("old", "new") if side == "a" else ("new", "old")
         none = {f"{other}_element_id": "string", f"{other}_text": "string", f"{other}_bbox": elements.schema["bbox"].dataType, "match_tier": "string"}
         own = {f"{mine}_element_id": "id", f"{mine}_text": "text", f"{mine}_bbox": "bbox", "element_type": "type"}
@@ -58,7 +59,7 @@ def statistics(matches: DataFrame, deltas: DataFrame, a: DataFrame, b: DataFrame
     tiers = ["exact_key", "geometry", "embedding_proximity"]
     found = matches.groupBy("pair_id").agg(F.count("*").alias("matched"), *[F.count_if(F.col("tier") == t).alias(t) for t in tiers])
     changes = deltas.groupBy("pair_id").agg(*[F.count_if(F.col("change_type") == c).alias(c) for c in ("added", "removed", "modified")])
-    rows = sides[0].join(sides[1], "pair_id", "full_outer").join(found, "pair_id", "left").join(changes, "pair_id", "left")
+    rows = sides[0].join(dealt(sides[1]), "pair_id", "full_outer").join(dealt(found), "pair_id", "left").join(dealt(changes), "pair_id", "left")
     rows = rows.fillna(0)
     at_least_one = lambda x: F.greatest(x, F.lit(1))
     rate = F.col("exact_key") / at_least_one(F.least("keyed_a", "keyed_b"))

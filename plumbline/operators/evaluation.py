@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import text as X
 from plumbline.operators.assign import mutual_best
 from plumbline.operators.report import noise
-from plumbline.session import reachable, written
+from plumbline.session import dealt, reachable, written
 from plumbline.settings import DEFAULT
 
 
@@ -66,7 +66,7 @@ def match_deltas(deltas: DataFrame, expected: DataFrame) -> DataFrame:
     keys = ["pair_id", "change_type", "element_type"]
     want = expected.select(*keys, "gt_id", F.col("old_text").alias("e_old"), F.col("new_text").alias("e_new"), F.col("locator.bbox").alias("e_box"))
     have = deltas.select(*keys, "delta_id", "old_text", "new_text", F.coalesce("new_bbox", "old_bbox").alias("box"))
-    both = want.join(have, keys).filter(texts_match(ratio, F.col("e_old"), F.col("old_text")) & texts_match(ratio, F.col("e_new"), F.col("new_text")))
+    both = want.join(dealt(have), keys).filter(texts_match(ratio, F.col("e_old"), F.col("old_text")) & texts_match(ratio, F.col("e_new"), F.col("new_text")))
     mid = lambda i: (F.col("e_box")[i] + F.col("e_box")[i + 2]) / 2
     far = F.hypot(mid(0) - (F.col("box.x0") + F.col("box.x1")) / 2, mid(1) - (F.col("box.y0") + F.col("box.y1")) / 2)
     scored = both.select("pair_id", "gt_id", "delta_id", F.coalesce(F.when(F.col("e_box").isNotNull() & F.col("box").isNotNull(), far), F.lit(0.0)).alias("distance"))
@@ -82,12 +82,12 @@ def delta_quality(deltas: DataFrame, expected: DataFrame, pairs: DataFrame, stat
     found = match_deltas(deltas, expected)
     tp = found.groupBy("pair_id").agg(F.count("*").alias("tp"))
     wanted = expected.groupBy("pair_id").agg(F.count("*").alias("wanted"))
-    false_ = deltas.join(found.select("pair_id", "delta_id"), ["pair_id", "delta_id"], "left_anti")
+    false_ = deltas.join(dealt(found.select("pair_id", "delta_id")), ["pair_id", "delta_id"], "left_anti")
     fp = false_.groupBy("pair_id").agg(F.count("*").alias("fp"))
     noisy = noise(false_).groupBy("pair_id").agg(F.count("*").alias("noise"))
     rows = pairs
     for t in (tp, wanted, fp, noisy, stats.select("pair_id", (F.size("warnings") > 0).alias("warned"))):
-        rows = rows.join(t, "pair_id", "left")
+        rows = rows.join(dealt(t), "pair_id", "left")
     rows = rows.fillna(0, ["tp", "wanted", "fp", "noise"]).withColumn("fn", F.col("wanted") - F.col("tp"))
     own = lambda c: F.when(~F.col("negative_control"), c)
     return rows.select(
