@@ -8,12 +8,26 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from plumbline.session import reachable, written
 
 
 def sorted_groups(df: DataFrame, keys: list[str], order: list[str], rule: Callable[[dict[str, list]], list[tuple]], schema) -> DataFrame:
-    """``rule`` over each group's rows, as lists by column in ``order``; it gives rows of ``schema``.
+    """``rule`` over each group's rows, as lists by column in ``order``; it gives rows of ``schema``."""
+    fields = _shape(schema).fieldNames()
+
+    def ruled(pdf, starts):
+        data = {c: pdf[c].tolist() for c in pdf.columns}
+        ends = np.append(starts[1:], len(pdf))
+        rows = [row for a, b in zip(starts.tolist(), ends.tolist(), strict=True) for row in rule({c: v[a:b] for c, v in data.items()})]
+        return pd.DataFrame(rows, columns=fields)
+
+    return sorted_batches(df, keys, order, ruled, schema)
+
+
+def sorted_batches(df: DataFrame, keys: list[str], order: list[str], rule: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema) -> DataFrame:
+    """``rule`` over batches of whole groups: their rows in ``order``, and at which places the groups start.
 
     Groups are dealt by key and sorted by Spark, then read as one stream a task: a task holds a batch and the group that
     goes on behind it.
@@ -23,11 +37,6 @@ def sorted_groups(df: DataFrame, keys: list[str], order: list[str], rule: Callab
     def run(batches):
         held = None
 
-        def ruled(pdf, starts):
-            data = {c: pdf[c].tolist() for c in pdf.columns}
-            ends = np.append(starts[1:], len(pdf))
-            return [row for a, b in zip(starts.tolist(), ends.tolist(), strict=True) for row in rule({c: v[a:b] for c, v in data.items()})]
-
         def bounds(pdf):
             fresh = np.ones(len(pdf), bool)
             fresh[1:] = np.logical_or.reduce([(pdf[k].to_numpy()[1:] != pdf[k].to_numpy()[:-1]) for k in keys])
@@ -41,15 +50,15 @@ def sorted_groups(df: DataFrame, keys: list[str], order: list[str], rule: Callab
             starts = bounds(pdf)
             held, done = pdf.iloc[starts[-1] :], pdf.iloc[: starts[-1]]
             if len(done):
-                yield pd.DataFrame(ruled(done, starts[:-1]), columns=fields)
+                yield rule(done, starts[:-1])
         if held is not None:
-            yield pd.DataFrame(ruled(held, np.array([0])), columns=fields)
+            yield rule(held, np.array([0]))
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, _shape(schema))
 
-    from pyspark.sql.types import StructType
 
-    shape = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
-    fields = shape.fieldNames()
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, shape)
+def _shape(schema) -> StructType:
+    return schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
 
 
 def numbered(ordered: DataFrame, name: str = "place") -> DataFrame:
