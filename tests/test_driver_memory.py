@@ -7,14 +7,14 @@ from plumbline.operators import assign, delta, evaluation
 from plumbline.plans import catalogue
 from plumbline.plans.changes import part_elements
 
-MEASURED = ["delta_engine"]
+MEASURED = ["delta_engine", "boxes_for_side"]
 
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", MEASURED)
+@pytest.mark.parametrize("name", QUERIES)
 def test_queries_of_changes(spark, sf_dir, name):
     assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") in ("10MB", "10485760b")
     assert "Broadcast" not in plan(catalogue.queries()[name](spark, sf_dir))
