@@ -7,7 +7,7 @@ from plumbline.operators import assign, delta, evaluation
 from plumbline.plans import catalogue
 from plumbline.plans.changes import part_elements
 
-MEASURED = ["delta_engine", "boxes_for_side"]
+MEASURED = ["delta_engine", "boxes_for_side", "delta_chunk_rows"]
 
 
 def plan(df):
