@@ -7,7 +7,7 @@ from plumbline.operators import assign, delta, evaluation
 from plumbline.plans import catalogue
 from plumbline.plans.changes import part_elements
 
-MEASURED = ["delta_engine", "boxes_for_side", "delta_chunk_rows", "delta_counts_by_element_type", "delta_counts_by_page", "delta_in_order", "delta_sentences", "delta_stats_and_warnings", "feed_filters", "ground_truth_quality", "pages_scale_n"]
+QUERIES = ["delta_engine", "boxes_for_side", "delta_chunk_rows", "delta_counts_by_element_type", "delta_counts_by_page", "delta_in_order", "delta_sentences", "delta_stats_and_warnings", "feed_filters", "ground_truth_quality", "pages_scale_n"]
 
 
 def plan(df):
