@@ -7,7 +7,7 @@ from plumbline.operators import assign, delta, evaluation
 from plumbline.plans import catalogue
 from plumbline.plans.changes import part_elements
 
-QUERIES = ["delta_engine", "boxes_for_side", "delta_chunk_rows", "delta_counts_by_element_type", "delta_counts_by_page", "delta_in_order", "delta_sentences", "delta_stats_and_warnings", "feed_filters", "ground_truth_quality", "pages_scale_n"]
+QUERIES = ["delta_engine", "boxes_for_side", "delta_chunk_rows", "delta_counts_by_element_type", "delta_counts_by_page", "delta_sentences", "delta_stats_and_warnings", "feed_filters", "ground_truth_quality", "pages_scale_n"]
 
 
 def plan(df):
@@ -20,6 +20,12 @@ def test_queries_of_changes(spark, sf_dir, name):
     assert "Broadcast" not in plan(catalogue.queries()[name](spark, sf_dir))
 
 
+def test_places_of_changes(spark, sf_dir):
+    """What is sent there is one row a partition; the changes themselves are not."""
+    told = plan(catalogue.queries()["delta_in_order"](spark, sf_dir))
+    assert "SortMergeJoin" not in told and told.count("BroadcastExchange") <= 1
+
+
 def test_joins_of_elements(spark, sf_dir):
     a, b = part_elements(spark, sf_dir)
     x, y = A.located(a), A.located(b)
