@@ -7,7 +7,8 @@ value. A term that reveals all of a value's information (share 1) is removed fro
 least GENERALISE of it is put as a general term: [NUMBER], [NAME] or [WORD]. A term has to stand beside its value in
 LEAST_CONTEXTS distinct contexts, so that copies of one text prove nothing. Column expressions only.
 
-Beside a value are up to BESIDE words on either side, as far as the next value or the text's end.
+Beside a value are up to BESIDE words on either side, as far as the next value or the text's end; of values that overlap,
+the words on either side of them all.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm._common import WORD_PATTERN, documents, materialize, text_or_empty
-from plumbline.llm._spans import between, covered, masked, matches, ordered, pieces, spelled
+from plumbline.llm._spans import between, covered, masked, matches, ordered, pieces, running, spelled
 from plumbline.llm.quality import let, words_of
 
 #: Patterns of the contract, written so that they need no backtracking into what they have matched.
@@ -80,44 +81,36 @@ def find_values(text: Column) -> Column:
 def _with_beside(found: DataFrame) -> DataFrame:
     """``found`` (body, base, ...) with the terms beside each value: array<struct<entity, context, term, start, end>>.
 
-    Step by step, each step's columns once: what it costs grows with text and spans, not with their product.
+    Values that overlap stand together: the words on either side of all of them are beside each of them. What lies between
+    is read whole and once, step by step, so that what it costs grows with text and spans, not with their product.
     """
-    reach = 64 * BESIDE  # code points looked at first on a side; where they hold too few whole words, all up to the next value
     some = lambda x: F.when(F.size("base") > 0, x)
     by_start = F.sort_array(F.transform("base", lambda s: F.struct(s["start"], s["end"], s["kind"], s["value"])))
     found = found.withColumns({"_pieces": some(pieces(F.col("body"))), "_spans": some(by_start), "_n": F.length("body").cast("long")})
     found = found.withColumn("_cover", some(covered(F.transform("_spans", lambda s: s["end"]))))
+    # a value that starts before another's end is no first one: there is no gap before it
+    found = found.withColumn("_first", F.transform("_spans", lambda s, i: (F.get("_cover", i) <= s["start"]).cast("long")))
+    found = found.withColumn("_before", some(running(F.col("_first"))))
 
-    def gap(start: Column, end: Column, last: bool, sided: str) -> Column:
-        """A stretch between values, and the part of it that is looked at first: nearest to its end (``last``) or start."""
-        a, b = (F.greatest(end - reach, start), end) if last else (start, F.least(start + reach, end))
-        return F.struct(start.alias("from"), end.alias("to"), a.alias("at"), between(F.col("_pieces"), a, b).alias("near")).alias(sided)
+    before = F.filter(F.transform("_spans", lambda s, i: F.struct(F.get("_cover", i).alias("from"), s["start"].alias("to"))), lambda g: g["from"] <= g["to"])
+    last = F.struct(F.array_max(F.transform("_spans", lambda s: s["end"])).alias("from"), F.col("_n").alias("to"))
+    gaps = F.transform(F.concat(before, F.array(last)), lambda g: F.struct(g["from"], between(F.col("_pieces"), g["from"], g["to"]).alias("text")))
+    found = found.withColumn("_gaps", some(gaps)).drop("_cover", "_pieces", "_n")
 
-    def gaps(span: Column, i: Column) -> Column:
-        before, after = F.get("_cover", i), F.coalesce(F.get("_spans", i + 1)["start"], F.col("_n"))
-        free, ends = before <= span["start"], span["end"] >= before
-        left = gap(F.when(free, before).otherwise(span["start"]), span["start"], True, "left")
-        right = gap(span["end"], F.when(ends, F.greatest(span["end"], after)).otherwise(span["end"]), False, "right")
-        return F.struct(F.concat_ws(":", span["kind"], F.lower(span["value"])).alias("entity"), left, right)
+    def edges(g: Column) -> Column:
+        """The first and the last words of a gap."""
+        placed = lambda m: F.transform(m, lambda x: F.struct((x["start"] + g["from"]).alias("start"), (x["end"] + g["from"]).alias("end"), x["value"].alias("word")))
+        tail = lambda m: F.slice(m, F.greatest(F.size(m) - BESIDE + 1, F.lit(1)), BESIDE)
+        return let(matches(g["text"], WORD_PATTERN, TERM), lambda m: F.struct(placed(F.slice(m, 1, BESIDE)).alias("first"), placed(tail(m)).alias("last")))
 
-    found = found.withColumn("_gaps", F.transform("_spans", gaps)).drop("_spans", "_cover")
+    found = found.withColumn("_words", F.transform("_gaps", edges)).drop("_gaps")
 
-    def words(piece: Column, base: Column, cut: Column, last: bool) -> Column:
-        whole = lambda x: x["start"] > 0 if last else x["end"] < F.length(piece)
-        kept = let(matches(piece, WORD_PATTERN, TERM), lambda m: F.filter(m, lambda x: ~cut | whole(x)))
-        ends = lambda m: F.when(F.size(m) <= BESIDE, m).otherwise(F.slice(m, -BESIDE, BESIDE) if last else F.slice(m, 1, BESIDE))
-        return F.transform(let(kept, ends), lambda x: F.struct((x["start"] + base).alias("start"), (x["end"] + base).alias("end"), x["value"].alias("word")))
+    def both(s: Column, i: Column) -> Column:
+        entity = F.concat_ws(":", s["kind"], F.lower(s["value"])).alias("entity")
+        after = (F.get("_before", i) + F.get("_first", i)).cast("int")
+        return F.struct(entity, F.concat(F.get("_words", after - 1)["last"], F.get("_words", after)["first"]).alias("words"))
 
-    cut = lambda g: g["to"] - g["from"] > reach
-    near = lambda g, last: words(g["near"], g["at"], cut(g), last)
-    found = found.withColumn("_near", F.transform("_gaps", lambda g: F.struct(near(g["left"], True).alias("left"), near(g["right"], False).alias("right"))))
-
-    def side(g: Column, w: Column, last: bool) -> Column:
-        all_of = words(between(F.col("_pieces"), g["from"], g["to"]), g["from"], F.lit(False), last)
-        return F.when((F.size(w) >= BESIDE) | ~cut(g), w).otherwise(all_of)
-
-    both = lambda g, i: F.struct(g["entity"], F.concat(side(g["left"], F.get("_near", i)["left"], True), side(g["right"], F.get("_near", i)["right"], False)).alias("words"))
-    found = found.withColumn("_beside", F.transform("_gaps", both)).drop("_gaps", "_near", "_pieces")
+    found = found.withColumn("_beside", F.transform("_spans", both)).drop("_words", "_spans", "_first", "_before")
 
     def terms(x: Column) -> Column:
         context = F.xxhash64(F.array_join(F.transform(x["words"], lambda w: w["word"]), " "))
@@ -125,7 +118,7 @@ def _with_beside(found: DataFrame) -> DataFrame:
         return let(context, lambda c: F.transform(bare, lambda w: F.struct(x["entity"], c.alias("context"), w["term"], w["start"], w["end"])))
 
     none = F.array().cast("array<struct<entity:string,context:long,term:string,start:long,end:long>>")
-    return found.withColumn("beside", F.coalesce(F.flatten(F.transform("_beside", terms)), none)).drop("_beside", "_n")
+    return found.withColumn("beside", F.coalesce(F.flatten(F.transform("_beside", terms)), none)).drop("_beside")
 
 
 _EDGE = r"[\p{P}\p{S}]*"
