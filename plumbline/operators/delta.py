@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as X
 from plumbline.operators.align import align, leftover
-from plumbline.session import dealt
+from plumbline.session import dealt, written
 from plumbline.settings import DEFAULT, Settings
 
 COLUMNS = ["pair_id", "change_type", "element_type", "old_element_id", "new_element_id", "old_text", "new_text", "old_bbox", "new_bbox", "match_tier", "confidence"]
@@ -86,5 +86,6 @@ def compute_delta(a: DataFrame, b: DataFrame, s: Settings = DEFAULT) -> tuple[Da
     texts are empty; an element without a box pairs by key only if that is its page's one; empty tables give no rows.
     """
     matches = align(a, b, s)
-    deltas = change_feed(matches, a, b)
+    # computed once, however often it is read: its joins are not planned, compiled and run again for each use
+    deltas = written(change_feed(matches, a, b), "feed")
     return deltas, statistics(matches, deltas, a, b, s)

@@ -1,5 +1,7 @@
 """Tables of elements, matches and changes are not broadcast: the driver would hold them whole, however small they are on disk."""
 
+import re
+
 import pytest
 
 from plumbline.operators import align as A
@@ -20,6 +22,12 @@ def test_queries_of_changes(spark, sf_dir, name):
     assert "Broadcast" not in plan(catalogue.queries()[name](spark, sf_dir))
 
 
+@pytest.mark.parametrize(("name", "joins"), [("feed_filters", 0)])
+def test_changes_are_computed_once(spark, sf_dir, name, joins):
+    """What reads the change feed has its own joins in its plan, and not those that make the feed."""
+    assert len(re.findall("Join", plan(catalogue.queries()[name](spark, sf_dir)))) <= joins
+
+
 def test_places_of_changes(spark, sf_dir):
     """What is sent there is one row a partition; the changes themselves are not."""
     told = plan(catalogue.queries()["delta_in_order"](spark, sf_dir))
