@@ -79,10 +79,10 @@ def delta_quality(deltas: DataFrame, expected: DataFrame, pairs: DataFrame, stat
     A control pair has no rates; it passes if any warning was raised.
     """
     deltas = written(deltas, "changes")
-    found = match_deltas(deltas, expected)
+    found = written(match_deltas(deltas, expected).select("pair_id", "delta_id"), "found")
     tp = found.groupBy("pair_id").agg(F.count("*").alias("tp"))
     wanted = expected.groupBy("pair_id").agg(F.count("*").alias("wanted"))
-    false_ = deltas.join(dealt(found.select("pair_id", "delta_id")), ["pair_id", "delta_id"], "left_anti")
+    false_ = deltas.join(dealt(found), ["pair_id", "delta_id"], "left_anti")
     fp = false_.groupBy("pair_id").agg(F.count("*").alias("fp"))
     noisy = noise(false_).groupBy("pair_id").agg(F.count("*").alias("noise"))
     rows = pairs
