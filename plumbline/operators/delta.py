@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,12 +57,17 @@ def in_order(deltas: DataFrame) -> DataFrame:
 def statistics(matches: DataFrame, deltas: DataFrame, a: DataFrame, b: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """One row per pair: counts, rates and warnings."""
     key = X.element_key(F.col("type"), F.col("text"), F.col("attributes"))
-    sides = [e.groupBy("pair_id").agg(F.count("*").alias(f"total_{x}"), F.count(key).alias(f"keyed_{x}")) for e, x in ((a, "a"), (b, "b"))]
     tiers = ["exact_key", "geometry", "embedding_proximity"]
-    found = matches.groupBy("pair_id").agg(F.count("*").alias("matched"), *[F.count_if(F.col("tier") == t).alias(t) for t in tiers])
-    changes = deltas.groupBy("pair_id").agg(*[F.count_if(F.col("change_type") == c).alias(c) for c in ("added", "removed", "modified")])
-    rows = sides[0].join(dealt(sides[1]), "pair_id", "full_outer").join(dealt(found), "pair_id", "left").join(dealt(changes), "pair_id", "left")
-    rows = rows.fillna(0)
+    change = ["added", "removed", "modified"]
+    counts = ["total_a", "keyed_a", "total_b", "keyed_b", "matched", *tiers, *change]
+
+    def counted(rows: DataFrame, **flags: Column) -> DataFrame:
+        return rows.select("pair_id", *[flags.get(n, F.lit(False)).alias(n) for n in counts])
+
+    # one aggregation over what is counted: no joins of the four counts
+    parts = [counted(e, **{f"total_{x}": F.lit(True), f"keyed_{x}": key.isNotNull()}) for e, x in ((a, "a"), (b, "b"))]
+    parts += [counted(matches, matched=F.lit(True), **{t: F.col("tier") == t for t in tiers}), counted(deltas, **{c: F.col("change_type") == c for c in change})]
+    rows = reduce(DataFrame.unionByName, parts).groupBy("pair_id").agg(*[F.count_if(F.col(n)).alias(n) for n in counts]).filter("total_a + total_b > 0")
     at_least_one = lambda x: F.greatest(x, F.lit(1))
     rate = F.col("exact_key") / at_least_one(F.least("keyed_a", "keyed_b"))
     fraction = (F.col("keyed_a") + F.col("keyed_b")) / at_least_one(F.col("total_a") + F.col("total_b"))

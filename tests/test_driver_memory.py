@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.operators import align as A
 from plumbline.operators import assign, delta, evaluation
@@ -28,6 +29,30 @@ def test_changes_are_computed_once(spark, sf_dir, name, joins):
     assert len(re.findall("Join", plan(catalogue.queries()[name](spark, sf_dir)))) <= joins
 
 
+def test_plans_of_a_delta_are_small(spark, sf_dir, monkeypatch):
+    """No plan that is run for change feed or statistics holds the joins of all tiers again and again; the statistics have none."""
+    plans = []
+    for module in (A, assign, delta):
+        monkeypatch.setattr(module, "written", lambda df, name, put=module.written: plans.append((name, plan(df))) or put(df, name))
+    told = plan(catalogue.queries()["delta_stats_and_warnings"](spark, sf_dir))
+    assert "Join" not in told and {"matches", "feed"} <= {n for n, _ in plans}
+    assert max(len(re.findall("Join", p)) for _, p in plans) <= 5
+
+
+def test_statistics_of_odd_pairs(spark, sf_dir):
+    """A pair that one side only has, one without changes, and matches of a pair that neither has."""
+    a, b = part_elements(spark, sf_dir)
+    a, b = (x.withColumn("pair_id", F.lit("same")).filter("id not like '%:1%'").limit(7) for x in (a, b))
+    a = a.withColumn("n", F.monotonically_increasing_id()).withColumn("pair_id", F.when(F.col("n") < 2, "gone").otherwise(F.col("pair_id"))).drop("n")
+    found = spark.createDataFrame([("same", "a:x", "b:x", "exact_key", 1.0, 0.0), ("other", "a:y", "b:y", "geometry", 1.0, 0.0)], "pair_id string, a_id string, b_id string, tier string, match_score double, bbox_distance double")
+    feed = spark.createDataFrame([("gone", "removed"), ("gone", "removed"), ("other", "added")], "pair_id string, change_type string")
+    rows = {r.pair_id: r for r in delta.statistics(found, feed, a, b).collect()}
+    assert set(rows) == {"same", "gone"}
+    same, gone = rows["same"], rows["gone"]
+    assert (same.total_a, same.total_b, same.matched, same.added, same.removed, same.modified) == (5, 7, 1, 0, 0, 0) and same.matched_by_tier == {"exact_key": 1, "geometry": 0, "embedding_proximity": 0}
+    assert (gone.total_a, gone.total_b, gone.matched, gone.unchanged, gone.removed, gone.alignment_rate) == (2, 0, 0, 0, 2, 0.0)
+
+
 def test_places_of_changes(spark, sf_dir):
     """What is sent there is one row a partition; the changes themselves are not."""
     told = plan(catalogue.queries()["delta_in_order"](spark, sf_dir))
