@@ -50,7 +50,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is put as its kind, terms that reveal it are left out or put as a general term. A null text stays null."""
-    found = pii.find_personal(docs.select(*COLUMNS), *COLUMNS)
+    found = pii.find_personal(docs.select(*COLUMNS), *COLUMNS, anywhere=True)
     return _shaped(found.withColumn("text", pii.sanitise(F.col("text"))))
 
 

@@ -8,7 +8,10 @@ least GENERALISE of it is put as a general term: [NUMBER], [NAME] or [WORD]. A t
 LEAST_CONTEXTS distinct contexts, so that copies of one text prove nothing. Column expressions only.
 
 Beside a value are up to BESIDE words on either side, as far as the next value or the text's end; of values that overlap,
-the words on either side of them all.
+the words on either side of them all. ``find_personal(..., anywhere=True)``, the form of the queries, also judges every other
+word of a text against every value of it: n(t, e) is then how many documents hold both, in two documents at least, and the
+context is the term's own neighbours (of several places in a document, one stands for all). A term that reveals a value by
+either count goes wherever it stands in the value's documents.
 """
 
 from __future__ import annotations
@@ -78,11 +81,11 @@ def find_values(text: Column) -> Column:
     )
 
 
-def _with_beside(found: DataFrame) -> DataFrame:
-    """``found`` (body, base, ...) with the terms beside each value: array<struct<entity, context, term, start, end>>.
+def _with_gaps(found: DataFrame) -> DataFrame:
+    """``found`` (body, base, ...) with what lies between values, and the spans by start with the gaps they lie between.
 
-    Values that overlap stand together: the words on either side of all of them are beside each of them. What lies between
-    is read whole and once, step by step, so that what it costs grows with text and spans, not with their product.
+    What lies between is read whole and once, step by step, so that what it costs grows with text and spans, not with
+    their product.
     """
     some = lambda x: F.when(F.size("base") > 0, x)
     by_start = F.sort_array(F.transform("base", lambda s: F.struct(s["start"], s["end"], s["kind"], s["value"])))
@@ -95,7 +98,15 @@ def _with_beside(found: DataFrame) -> DataFrame:
     before = F.filter(F.transform("_spans", lambda s, i: F.struct(F.get("_cover", i).alias("from"), s["start"].alias("to"))), lambda g: g["from"] <= g["to"])
     last = F.struct(F.array_max(F.transform("_spans", lambda s: s["end"])).alias("from"), F.col("_n").alias("to"))
     gaps = F.transform(F.concat(before, F.array(last)), lambda g: F.struct(g["from"], between(F.col("_pieces"), g["from"], g["to"]).alias("text")))
-    found = found.withColumn("_gaps", some(gaps)).drop("_cover", "_pieces", "_n")
+    return found.withColumn("_gaps", some(gaps)).drop("_cover", "_pieces", "_n")
+
+
+def _with_beside(found: DataFrame) -> DataFrame:
+    """``found`` (body, base, ...) with the terms beside each value: array<struct<entity, context, term, start, end>>.
+
+    Values that overlap stand together: the words on either side of all of them are beside each of them.
+    """
+    found = _with_gaps(found)
 
     def edges(g: Column) -> Column:
         """The first and the last words of a gap."""
@@ -121,6 +132,18 @@ def _with_beside(found: DataFrame) -> DataFrame:
     return found.withColumn("beside", F.coalesce(F.flatten(F.transform("_beside", terms)), none)).drop("_beside")
 
 
+def _all_terms(found: DataFrame) -> DataFrame:
+    """``found`` (body, base, ...) with the terms of its whole texts but for the values: array<struct<term, start, end, context>>."""
+
+    def told(g: Column) -> Column:
+        near = lambda m, i: F.xxhash64(F.array_join(F.array(*[F.get(m, i + k)["value"] for k in range(-BESIDE, BESIDE + 1)]), " "))
+        word = lambda x: _bare(F.struct((x["start"] + g["from"]).alias("start"), (x["end"] + g["from"]).alias("end"), x["value"].alias("word")))
+        each = lambda m: F.transform(m, lambda x, i: let(word(x), lambda w: F.struct(w["term"], w["start"], w["end"], near(m, i).alias("context"))))
+        return let(matches(g["text"], WORD_PATTERN, TERM), each)
+
+    return _with_gaps(found).withColumn("all", F.filter(F.flatten(F.transform("_gaps", told)), lambda w: F.length(w["term"]) >= LEAST_TERM)).drop("_spans", "_first", "_before", "_gaps")
+
+
 _EDGE = r"[\p{P}\p{S}]*"
 
 
@@ -139,15 +162,39 @@ def corpus_terms(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(F.array_distinct(bare)).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
 
 
-def revealing_terms(found: DataFrame, docs: DataFrame, total: int) -> DataFrame:
+def _held(found: DataFrame) -> DataFrame:
+    """row, entity: which rows hold a value."""
+    return found.select("row", F.explode("base").alias("b")).select("row", F.concat_ws(":", "b.kind", F.lower("b.value")).alias("entity")).distinct()
+
+
+def _shared(held: DataFrame) -> DataFrame:
+    """row, entity: values that two rows or more hold. Those of the same rows are one, as what they tell is the same."""
+    same = F.concat_ws(":", F.lit(""), F.bit_xor(F.xxhash64("row")), F.bit_xor(F.xxhash64(F.lit(1), "row"))).alias("same")
+    groups = held.groupBy("entity").agg(F.count("*").alias("ne"), same).filter("ne > 1").select("entity", "same")
+    return held.join(groups, "entity").select("row", F.col("same").alias("entity")).distinct()
+
+
+def _pairs_anywhere(found: DataFrame, shared: DataFrame) -> DataFrame:
+    """entity, term, contexts, joint: how many rows hold both, for values of ``_shared``."""
+    words = _all_terms(found.join(shared.select("row").distinct(), "row", "left_semi")).select("row", F.explode("all").alias("w"))
+    held = words.groupBy("row", "w.term").agg(F.min("w.context").alias("context"))
+    pairs = held.join(shared, "row").groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count("*").alias("joint"))
+    return pairs.filter((F.col("joint") > 1) & (F.col("contexts") >= LEAST_CONTEXTS))
+
+
+def revealing_terms(found: DataFrame, docs: DataFrame, total: int, shared: DataFrame | None = None) -> DataFrame:
     """entity, term, share (of the entity's information that the term reveals), from GENERALISE on.
 
     found: rows with values, base and beside of ``_located``. Only values and terms that stand together in two distinct contexts can get here.
+    shared: of ``_shared``, for terms that stand anywhere in a value's rows.
     """
     beside = found.select("row", F.explode("beside").alias("b")).select("row", "b.entity", "b.context", "b.term")
     pairs = beside.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("row").alias("joint")).filter(F.col("contexts") >= LEAST_CONTEXTS)
+    held = _held(found)
+    if shared is not None:
+        pairs, held = pairs.unionByName(_pairs_anywhere(found, shared)), held.unionByName(shared)
     pairs = materialize(pairs, "pairs")
-    holds = found.select("row", F.explode("base").alias("b")).select(F.concat_ws(":", "b.kind", F.lower("b.value")).alias("entity"), "row").distinct().groupBy("entity").agg(F.count("*").alias("ne"))
+    holds = held.groupBy("entity").agg(F.count("*").alias("ne"))
     # an inner join, which stays above the counting: a semi join would be pushed under it, to every occurrence of a term
     stats = pairs.join(corpus_terms(docs), "term").join(holds, "entity")
     pmi = F.log2(F.lit(float(total)) * F.col("joint") / (F.col("n") * F.col("ne")))
@@ -156,27 +203,41 @@ def revealing_terms(found: DataFrame, docs: DataFrame, total: int) -> DataFrame:
     return stats.select("entity", "term", F.round(share, 9).alias("share")).filter(F.col("share") >= GENERALISE)
 
 
-def find_personal(docs: DataFrame, *keep: str) -> DataFrame:
+def find_personal(docs: DataFrame, *keep: str, anywhere: bool = False) -> DataFrame:
     """The columns ``keep`` of ``docs``, and spans: base ones by kind and start, then revealing terms by start.
 
     ``base`` and ``terms`` are array<struct<kind,start,end,value>>; a term's kind is ``term``, its value ``removed`` or
     ``generalised``. A null text is empty; a null doc_id stays null; repeated rows are judged alike and stay; an empty
     table stays empty. Values and terms are counted over all rows. Columns of ``docs`` may have any names; those named
-    ``base`` or ``terms`` are replaced.
+    ``base`` or ``terms`` are replaced. ``anywhere``: terms are sought in the whole texts that hold a value, not beside it only.
     """
     none = F.array().cast("array<struct<kind:string,start:long,end:long,value:string>>")
     keep = [c for c in keep if c not in ("base", "terms")]
     kept = F.struct(*[F.col(f"`{c}`") for c in keep] or [F.lit(0).alias("nothing")])
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), kept.alias("kept"), text_or_empty().alias("body"))
-    found = materialize(_located(numbered), "personal")
-    some = found.filter(F.size("beside") > 0)
-    terms = revealing_terms(found.filter(F.size("base") > 0), docs, found.count())
-    hits = some.select("row", F.explode("beside").alias("b")).select("row", "b.entity", "b.term", "b.start", "b.end").join(terms, ["entity", "term"])
-    kind = F.struct(F.lit(TERM).alias("kind"), F.col("start"), F.col("end"), F.when(F.col("share") >= 1, "removed").otherwise("generalised").alias("value"))
-    spans = hits.groupBy("row", "start", "end").agg(F.max("share").alias("share")).select("row", kind.alias("s")).groupBy("row").agg(F.array_sort(F.collect_list("s")).alias("terms"))
-    # only rows with something beside a value can have terms; the others, and their texts, are not shuffled
-    plain = found.filter(F.size("beside") == 0).withColumn("terms", none)
-    rows = plain.unionByName(some.join(spans, "row", "left").withColumn("terms", F.coalesce("terms", none)))
+    kind = lambda share: F.when(share >= 1, "removed").otherwise("generalised").alias("value")
+    if anywhere:
+        body = F.when(F.size("base") > 0, F.col("body")).alias("body")
+        found = materialize(_with_beside(numbered.withColumn("base", find_values(F.col("body")))).select("row", "kept", "base", "beside", body), "personal")
+        some = found.filter(F.size("base") > 0)
+        shared = materialize(_shared(_held(some)), "shared")
+        terms = materialize(revealing_terms(some, docs, found.count(), shared), "terms")
+        told = _held(some).unionByName(shared).join(terms, "entity").groupBy("row", "term").agg(F.max("share").alias("share"))
+        told = told.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares"))
+        here = F.filter("all", lambda w: F.map_contains_key("shares", w["term"]))
+        spans = F.transform(here, lambda w: F.struct(F.lit(TERM).alias("kind"), w["start"], w["end"], kind(F.try_element_at("shares", w["term"]))))
+        spans = _all_terms(some.join(told, "row")).select("row", F.array_sort(spans).alias("terms"))
+        plain = found.filter(F.size("base") == 0)
+    else:
+        found = materialize(_located(numbered), "personal")
+        some = found.filter(F.size("beside") > 0)
+        terms = revealing_terms(found.filter(F.size("base") > 0), docs, found.count())
+        hits = some.select("row", F.explode("beside").alias("b")).select("row", "b.entity", "b.term", "b.start", "b.end").join(terms, ["entity", "term"])
+        spans = hits.groupBy("row", "start", "end").agg(F.max("share").alias("share"))
+        spans = spans.select("row", F.struct(F.lit(TERM).alias("kind"), F.col("start"), F.col("end"), kind(F.col("share"))).alias("s")).groupBy("row").agg(F.array_sort(F.collect_list("s")).alias("terms"))
+        plain = found.filter(F.size("beside") == 0)
+    # only rows with a value, or something beside one, can have terms; the others, and their texts, are not shuffled
+    rows = plain.withColumn("terms", none).unionByName(some.join(spans, "row", "left").withColumn("terms", F.coalesce("terms", none)))
     return rows.select(*[F.col(f"kept.`{c}`") for c in keep], "base", "terms")
 
 
@@ -200,6 +261,6 @@ def sanitise(text: Column) -> Column:
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Find personal data in all documents."""
-    found = find_personal(documents(spark, sf_dir, "doc_id", "text"), "doc_id")
+    found = find_personal(documents(spark, sf_dir, "doc_id", "text"), "doc_id", anywhere=True)
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(spelled(F.col("base")), 256).alias("base_sha256"), spelled(all_spans()).alias("spans"))
